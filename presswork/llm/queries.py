@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import lines, split, tokens
 from ..runtime import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the lines that their source repeats over its articles."""
+    return lines.repeated_lines(table(spark, d, "articles")).select(F.col("id").alias("article_id"), "line_no")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every article's body without its source's repeated lines."""
+    return lines.without_repeated_lines(table(spark, d, "articles")).withColumnRenamed("id", "article_id")
+
+
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The removed lines of every source as templates with wildcard slots."""
+    return lines.template_report(table(spark, d, "articles"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks over 700 signs, each of which the cutting operator turned into pieces."""
+    chunks = table(spark, d, "article_chunks")
+    return split.cut_rows(chunks, "id", "chunk_text").where("piece_no = 0").select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the oversized chunks with their places in chunk and article."""
+    return split.cut_chunks(table(spark, d, "article_chunks"), table(spark, d, "articles"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's ids by byte_bpe_50k."""
     return tokens.encode_documents(table(spark, d, "documents"))
@@ -19,4 +45,7 @@ def p8_totals(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_totals(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_totals": p8_totals}
+QUERIES = {
+    "p2_found": p2_found, "p2_clean": p2_clean, "p2_templates": p2_templates, "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p8_ids": p8_ids, "p8_totals": p8_totals,
+}

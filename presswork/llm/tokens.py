@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folder of the public vocabularies (a parameter of every function here).
 TOKENIZERS = "/opt/tokenizers"
@@ -217,7 +218,7 @@ def encoder(folder: str, name: str) -> Encoder:
 
 def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids array<int>) of every row of df. One narrow stage, no shuffle."""
-    schema = df.select(key).schema.add("ids", "array<int>")
+    schema = df.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(folder, name)
@@ -233,7 +234,7 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", fol
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
     """(key, n_tokens bigint): as encode_documents, without handing the ids on."""
-    schema = df.select(key).schema.add("n_tokens", "bigint")
+    schema = df.select(key).schema.add("n_tokens", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(folder, name)
