@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, split, tokens
+from . import fusion, incremental, knn, lines, mixing, spans, split, tokens
 from ..runtime import table
 
 
@@ -24,6 +24,16 @@ def p2_templates(spark: SparkSession, d: str) -> DataFrame:
     return lines.template_report(table(spark, d, "articles"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of frames of which one is among the most similar ones of the other."""
+    return knn.similar_pairs(table(spark, d, "frame_embeddings"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame's most similar frames with their cosines."""
+    return knn.frame_neighbours(table(spark, d, "frame_embeddings"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over 700 signs, each of which the cutting operator turned into pieces."""
     chunks = table(spark, d, "article_chunks")
@@ -35,6 +45,22 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.cut_chunks(table(spark, d, "article_chunks"), table(spark, d, "articles"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Incoming rows that repeat a held or earlier accepted one, with the smallest such."""
+    return incremental.repeats(table(spark, d, "articles"), table(spark, d, "incoming_articles"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The member of every group whose value survives, field by field, under the rule of trust."""
+    rows = fusion.members(table(spark, d, "articles"), table(spark, d, "article_duplicates"), table(spark, d, "source_profiles"))
+    return fusion.survivors(fusion.claims(rows)).select("duplicate_group_id", "field", "article_id")
+
+
+def p7_fused(spark: SparkSession, d: str) -> DataFrame:
+    """One record per group with the values of greatest posterior."""
+    return fusion.fused_records(table(spark, d, "articles"), table(spark, d, "article_duplicates"), table(spark, d, "source_profiles"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's ids by byte_bpe_50k."""
     return tokens.encode_documents(table(spark, d, "documents"))
@@ -45,7 +71,29 @@ def p8_totals(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_totals(table(spark, d, "documents"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of every listed source."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that share a long span."""
+    return spans.sharing_pairs(table(spark, d, "documents"))
+
+
+def p10_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What part of every document stands in another one too."""
+    return spans.shared_parts(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_clean": p2_clean, "p2_templates": p2_templates, "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p7_found": p7_found, "p7_fused": p7_fused,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_parts": p10_parts,
     "p8_ids": p8_ids, "p8_totals": p8_totals,
 }
