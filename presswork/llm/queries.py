@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fusion, incremental, knn, lines, mixing, spans, split, tokens
+from . import fusion, incremental, knn, lines, mixing, residue, spans, split, tokens
 from ..runtime import table
 
 
@@ -50,6 +50,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repeats(table(spark, d, "articles"), table(spark, d, "incoming_articles"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles and chunks that hold template residue, filler, errors or script notices."""
+    return residue.residue_rows(table(spark, d, "articles"), table(spark, d, "article_chunks"))
+
+
+def p6_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the classifier on hosts it has not seen."""
+    return residue.validation(table(spark, d, "articles"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The member of every group whose value survives, field by field, under the rule of trust."""
     rows = fusion.members(table(spark, d, "articles"), table(spark, d, "article_duplicates"), table(spark, d, "source_profiles"))
@@ -93,7 +103,7 @@ def p10_parts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_clean": p2_clean, "p2_templates": p2_templates, "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p7_found": p7_found, "p7_fused": p7_fused,
+    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p6_found": p6_found, "p6_validation": p6_validation, "p7_found": p7_found, "p7_fused": p7_fused,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_parts": p10_parts,
     "p8_ids": p8_ids, "p8_totals": p8_totals,
 }
