@@ -256,7 +256,8 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str | None
         F.when(result.isNull(), "unreadable").when(F.col("__instant").isNotNull(), "instant")
         .when(F.size("__hits") > 1, "ambiguous").when(F.size("__hits") == 0, "nonexistent").otherwise("unique")
     )
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], result.alias(out), label.alias(status))
+    kept = [c for c in df.columns if c.lower() not in (out.lower(), status.lower())]  # results replace columns of their name
+    return joined.select(*[F.col(f"`{c}`") for c in kept], result.alias(out), label.alias(status))
 
 
 def article_instants(articles: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -41,4 +41,5 @@ def append_new(articles: DataFrame, store: str, checkpoint: str, spark: SparkSes
 
 def counts(events: DataFrame, time: str = "ts", key: str = "event_type", window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Events per key and window, late ones counted within the delay."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
