@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import forget, written
+from ..runtime import broadcast_if_small, forget, written
 
 WORDS, SIMILARITY = 5, 0.6
 #: Counters of the sketch that orders the runs; its size does not depend on the data.
@@ -67,7 +67,7 @@ def _runs(texts: list[str | None]) -> list[np.ndarray]:
 
 def url_key(url: Column) -> Column:
     """A url without outer blanks, fragment, one closing slash, empty and utm parameters; scheme and host in lower case."""
-    u = F.regexp_replace(F.trim(F.regexp_replace(url, r"^[\s ]+|[\s ]+$", "")), "#.*$", "")
+    u = F.regexp_replace(F.trim(F.regexp_replace(url, r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")), "#.*$", "")
     head = F.regexp_extract(u, r"^([^?]*)", 1)
     origin = F.regexp_extract(head, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*)", 1)
     path = F.regexp_replace(F.substr(head, F.length(origin) + 1), "/$", "")
@@ -85,22 +85,28 @@ def keyed(df: DataFrame, key: str = "id", url: str = "url", digest: str = "conte
 
     text_key stands for the words of a text of at least five words, else for its squeezed body.
     """
-    squeezed = F.trim(F.regexp_replace(body, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
-    words = F.regexp_replace(F.lower(squeezed), r"[^\p{L}\p{N}]+", " ")
-    words = F.trim(words)
-    enough = F.length(words) - F.length(F.translate(words, " ", "")) >= WORDS - 1
-    text = F.when(F.length(squeezed) > 0, _wide(F.when(enough, F.concat(F.lit("w"), words)).otherwise(F.concat(F.lit("b"), squeezed))))
-    h = F.lower(F.trim(digest))
-    return df.select(
-        F.col(key).alias("id"), F.when(url_key(F.col(url)).isNotNull(), _wide(url_key(F.col(url)))).alias("url_key"),
-        F.when((h != "") & (h != EMPTY_HASH), _wide(h)).alias("hash_key"), text.alias("text_key"),
+    blank = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    # Each step is a projection of its own, so that no text is worked through twice.
+    rows = df.select(F.col(key).alias("id"), url_key(F.col(url)).alias("__url"), F.lower(F.trim(digest)).alias("__hash"), F.trim(F.regexp_replace(body, blank, " ")).alias("__text"))
+    rows = rows.withColumn("__words", F.trim(F.regexp_replace(F.lower("__text"), r"[^\p{L}\p{N}]+", " ")))
+    rows = rows.withColumn("__enough", F.length("__words") - F.length(F.translate("__words", " ", "")) >= WORDS - 1)
+    rows = rows.withColumn("__same", F.when(F.col("__enough"), F.concat(F.lit("w"), "__words")).when(F.col("__text") != "", F.concat(F.lit("b"), "__text")))
+    wide = lambda c, ok: F.when(ok, _wide(F.col(c)))
+    return rows.select(
+        "id", wide("__url", F.col("__url").isNotNull()).alias("url_key"), wide("__hash", (F.col("__hash") != "") & (F.col("__hash") != EMPTY_HASH)).alias("hash_key"),
+        wide("__same", F.col("__same").isNotNull()).alias("text_key"),
     )
 
 
 def _classes(df: DataFrame, keys: DataFrame, key: str, body: str) -> DataFrame:
-    """(cls, text): one row per class of equal texts; cls is the smallest id."""
-    reps = keys.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("cls")).select("cls")
-    return df.select(F.col(key).alias("cls"), F.col(body).alias("text")).join(reps, "cls", "left_semi")
+    """(cls, text): one row per class of equal texts, and cls its smallest id.
+
+    The ids of the other rows are taken away: they are few unless most texts are copies, and then the
+    anti-join shuffles; the texts themselves are read anew where they are needed, not written again.
+    """
+    reps = keys.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"))
+    rest = keys.join(reps, "text_key", "left").where("rep is null or rep <> id").select(F.col("id").alias("cls"))
+    return df.select(F.col(key).alias("cls"), F.col(body).alias("text")).join(broadcast_if_small(written(rest, "repeats")), "cls", "left_anti")
 
 
 def count_sketch(classes: DataFrame) -> np.ndarray:
@@ -133,59 +139,117 @@ def count_sketch(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame, order, similarity: float = SIMILARITY) -> DataFrame:
-    """(run, cls, size, pos): the rarest runs of every class, as many as a similar set must share one of.
+#: Bits of the fixed-size filter of a batch's runs, and of the signature that bounds an overlap.
+FILTER_BITS, SIGNATURE_BITS = 1 << 26, 512
+_POSTING = "run bigint, cls bigint, size int, pos int, " + ", ".join(f"s{i} bigint" for i in range(SIGNATURE_BITS // 64))
+
+
+def postings(classes: DataFrame, order, similarity: float = SIMILARITY, wanted=None) -> DataFrame:
+    """(run, cls, size, pos, s0..): the rarest runs of every class, as many as a similar set must share one of.
 
-    order is the broadcast sketch.
+    Each class has one more row, without a run, whose s columns are its signature: the bits of all
+    its runs' hashes. order is the broadcast sketch; wanted, if given, a batch's broadcast filter:
+    runs outside it are not made postings.
     """
+    longs = SIGNATURE_BITS // 64
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 runs = _runs(part.column(1).to_pylist())
-                heads, sizes = [], []
-                for h in runs:
-                    n = len(h)
-                    keep = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-                    seen = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                    heads.append(h[np.lexsort((h, seen))[:keep]])
-                    sizes.append(n)
-                m = np.array([len(h) for h in heads])
-                if not m.sum():
+                n = np.array([len(h) for h in runs])
+                if not n.sum():
                     continue
-                at = np.repeat(np.arange(len(m)), m)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(heads).view(np.int64)), part.column(0).take(pa.array(at)),
-                        pa.array(np.array(sizes, np.int32)[at]), pa.array((np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)).astype(np.int32)),
-                    ],
-                    ["run", "cls", "size", "pos"],
-                )
+                # All texts at once: their runs in order of the sketch, and the places in that order.
+                flat, at = np.concatenate(runs), np.repeat(np.arange(len(n)), n)
+                seen = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                by = np.lexsort((flat, seen, at))
+                flat = flat[by]
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                keep = pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[at]
+                if bits is not None:
+                    f = _filter_bit(flat)
+                    keep &= (bits[f >> 3] >> (f & 7).astype(np.uint8)) & 1 == 1
+                sig = np.zeros((len(n), SIGNATURE_BITS), np.uint8)
+                sig[at, (flat >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
+                sig = np.packbits(sig, axis=1).view(np.int64)
+                has = np.flatnonzero(n)
+                ids = np.concatenate([at[keep], has])
+                none = np.zeros(int(keep.sum()), dtype=bool)
+                is_sig = np.concatenate([none, np.ones(len(has), bool)])
+                cols = [
+                    pa.array(np.concatenate([flat[keep].view(np.int64), np.zeros(len(has), np.int64)]), mask=is_sig), part.column(0).take(pa.array(ids)),
+                    pa.array(n[ids].astype(np.int32)), pa.array(np.concatenate([pos[keep], np.zeros(len(has), np.int64)]).astype(np.int32)),
+                ]
+                cols += [pa.array(sig[ids, j], mask=~is_sig) for j in range(longs)]
+                yield pa.RecordBatch.from_arrays(cols, ["run", "cls", "size", "pos", *[f"s{j}" for j in range(longs)]])
+
+    return classes.select("cls", "text").mapInArrow(make, _POSTING)
+
+
+def _filter_bit(run: np.ndarray) -> np.ndarray:
+    return ((run >> np.uint64(7)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def run_filter(probe: DataFrame) -> bytes:
+    """FILTER_BITS bits, set for the runs of a batch: it only ever saves work, whatever the batch's size."""
+    size = FILTER_BITS // 8 // 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        some = False
+        for b in batches:
+            f = _filter_bit(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            np.bitwise_or.at(bits, f >> 3, (1 << (f & 7)).astype(np.uint8))
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([bits[i * size : (i + 1) * size].tobytes() for i in range(64)], pa.binary())], ["block", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[block] = held.get(block, np.uint8(0)) | np.frombuffer(x, np.uint8)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
 
-    return classes.select("cls", "text").mapInArrow(make, "run bigint, cls bigint, size int, pos int")
+    out = bytearray(FILTER_BITS // 8)
+    rows = probe.where("run is not null").select("run").mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(join, "block int, bits binary")
+    for r in rows.toLocalIterator():  # FILTER_BITS in all
+        out[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
+    return bytes(out)
 
 
 def candidates(probe: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls, other): pairs whose sizes and places of shared runs leave room for the similarity.
+    """(cls, other): pairs whose sizes, places of shared runs and signatures leave room for the similarity.
 
     The join is on the run; a run that many classes share stands at the end of their order and is
-    seldom kept, and where it is, the join's skewed partitions are split at run time.
+    seldom kept, and where it is, the join's skewed partitions are split at run time. A signature bit
+    that only one side has stands for at least one run that the other lacks.
     """
-    p = probe.select("run", F.col("cls").alias("cls"), F.col("size").alias("n"), F.col("pos").alias("i"))
-    q = index.select("run", F.col("cls").alias("other"), F.col("size").alias("m"), F.col("pos").alias("j"))
+    p = probe.where("run is not null").select("run", "cls", F.col("size").alias("n"), F.col("pos").alias("i"))
+    q = index.where("run is not null").select("run", F.col("cls").alias("other"), F.col("size").alias("m"), F.col("pos").alias("j"))
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6)
     near = (F.col("m") >= similarity * F.col("n") - 1e-6) & (F.col("n") >= similarity * F.col("m") - 1e-6)
     room = (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
-    # With both places in their room, the shared runs so far and the rest can always reach the need.
-    return p.join(q, "run").where((F.col("cls") != F.col("other")) & near & room).select("cls", "other").distinct()
+    met = p.join(q, "run").where((F.col("cls") != F.col("other")) & near & room).select("cls", "other").distinct()
+    longs = range(SIGNATURE_BITS // 64)
+    a = probe.where("run is null").select("cls", F.col("size").alias("n"), *[F.col(f"s{i}").alias(f"a{i}") for i in longs])
+    b = index.where("run is null").select(F.col("cls").alias("other"), F.col("size").alias("m"), *[F.col(f"s{i}").alias(f"b{i}") for i in longs])
+    both = met.join(a, "cls").join(b, "other")
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in longs), F.lit(0))
+    return both.where((F.col("n") - only("a", "b") >= need) & (F.col("m") - only("b", "a") >= need)).select("cls", "other")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls, other) of the pairs whose whole texts are similar enough."""
-    a = left.select("cls", F.col("text").alias("text_a"))
-    b = right.select(F.col("cls").alias("other"), F.col("text").alias("text_b"))
+    pairs = written(pairs, "pairs")
+    one, two = pairs.select("cls").distinct(), pairs.select("other").distinct()
+    a = left.join(broadcast_if_small(written(one, "asked")), "cls", "left_semi").select("cls", F.col("text").alias("text_a"))
+    b = right.withColumnRenamed("cls", "other").join(broadcast_if_small(written(two, "met")), "other", "left_semi").select("other", F.col("text").alias("text_b"))
     both = pairs.join(a, "cls").join(b, "other").select("cls", "other", "text_a", "text_b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,28 +275,37 @@ class History:
         self.keys, self.classes, self.index, self.order = keys, classes, index, order
 
     @classmethod
-    def of(cls, df: DataFrame) -> History:
-        """Make the index of a table once; later batches only probe it and append to it."""
+    def of(cls, df: DataFrame, lasting: bool = True) -> History:
+        """Make the index of a table once; later batches only probe it and append to it.
+
+        An index that is to serve one batch alone (not lasting) is made when that batch is there, of
+        the runs that its filter lets through.
+        """
         keys = written(keyed(df), "keys")
-        classes = written(_classes(df, keys, "id", "body_text"), "classes")
+        classes = _classes(df, keys, "id", "body_text")
         order = df.sparkSession.sparkContext.broadcast(count_sketch(classes))
-        return cls(keys, classes, written(postings(classes, order).repartition("run"), "postings"), order)
+        return cls(keys, classes, written(postings(classes, order).repartition("run"), "postings") if lasting else None, order)
 
     def append(self, batch: DataFrame, accepted: DataFrame) -> History:
         """The history with the accepted rows of a batch: only their own postings are made."""
         rows = batch.join(accepted.select("id"), "id", "left_semi")
         keys = written(keyed(rows), "keys")
-        classes = written(_classes(rows, keys, "id", "body_text"), "classes")
+        classes = _classes(rows, keys, "id", "body_text")
         more = written(postings(classes, self.order).repartition("run"), "postings")
         return History(self.keys.unionByName(keys), self.classes.unionByName(classes), self.index.unionByName(more), self.order)
 
     def check(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(duplicates, accepted): (kept_id, dup_id), and the ids of the batch that are none."""
-        batch = batch.dropDuplicates(["id"])
+        if batch.select("id").distinct().count() < batch.count():  # repeated ids: one row each
+            batch = batch.dropDuplicates(["id"])
         keys = written(keyed(batch), "batch-keys")
-        classes = written(_classes(batch, keys, "id", "body_text"), "batch-classes")
+        classes = _classes(batch, keys, "id", "body_text")
         probe = written(postings(classes, self.order), "probe")
-        old = verified(candidates(probe, self.index), classes, self.classes)
+        index = self.index
+        if index is None:
+            wanted = batch.sparkSession.sparkContext.broadcast(run_filter(probe))
+            index = written(postings(self.classes, self.order, wanted=wanted), "postings")
+        old = verified(candidates(probe, index), classes, self.classes)
         new = verified(candidates(probe, probe).where("cls < other"), classes, classes)
         near_old, near_new = written(old, "near-old"), written(new, "near-new")
 
@@ -280,7 +353,7 @@ def repeats(history: DataFrame, incoming: DataFrame) -> DataFrame:
 
     As ids follow the batches, all batches may be checked at once: a row only looks at smaller ids.
     """
-    return History.of(history).check(incoming)[0]
+    return History.of(history, lasting=False).check(incoming)[0]
 
 
 def repeats_by_batch(history: DataFrame, incoming: DataFrame, batches: list[int]) -> DataFrame:
