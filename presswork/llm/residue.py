@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 #: Articles of the sample with and without a cue; negative windows kept; a fifth of the hosts is held out.
 CUE_DOCS, PLAIN_DOCS, PLAIN_WINDOWS, HELD_OUT = 6_000, 1_500, 40_000, 5
 #: Tokens of a window and between two windows, hashed weights, steps and penalty of the fit.
@@ -191,8 +193,13 @@ def _fit(rows: np.ndarray, feats: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(articles: DataFrame, key: str = "id", host: str = "source_id", body: str = "body_text") -> Model:
     """A model from at most CUE_DOCS + PLAIN_DOCS articles, chosen by a hash of their ids."""
     some = articles.select(F.xxhash64(F.col(key), F.lit(5)).alias("h"), F.coalesce(F.col(host), F.lit(-1)).alias("host"), F.col(body).alias("body")).where(F.length(F.trim(body)) > 0)
-    cue = F.col("body").rlike(CUES)
-    rows = some.where(cue).orderBy("h").limit(CUE_DOCS).collect() + some.where(~cue).orderBy("h").limit(PLAIN_DOCS).collect()
+    # The patterns run once over all texts and leave a hash and a flag; only the chosen texts come to the driver.
+    marked = written(some.select("h", F.col("body").rlike(CUES).alias("cue")), "cues")
+    last = lambda cue, n: marked.where(cue).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    to = last(F.col("cue"), CUE_DOCS), last(~F.col("cue"), PLAIN_DOCS)
+    ends = [F.lit(-(2**63) if x is None else x).cast("bigint") for x in to]
+    near = some.where(F.col("h") <= F.greatest(*ends)).withColumn("cue", F.col("body").rlike(CUES))
+    rows = near.where(F.when(F.col("cue"), F.col("h") <= ends[0]).otherwise(F.col("h") <= ends[1])).orderBy("h").collect()
     texts = [r["body"] for r in rows]
     held = np.array([(int(r["host"]) * 2654435761 >> 9) % HELD_OUT == 0 for r in rows], dtype=bool)
     if not texts:
@@ -263,7 +270,7 @@ def flagged(df: DataFrame, text: str, model, key: str = "id") -> DataFrame:
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in hits], pa.int64()), pa.array(best[hits], pa.float64())], ["row_id", "score"])
 
-    some = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length(F.trim(F.regexp_replace("text", r"[\s ]+", " "))) > 0)
+    some = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length(F.trim(F.regexp_replace("text", r"[\s\x{A0}]+", " "))) > 0)
     return some.mapInArrow(run, "row_id bigint, score double")
 
 
