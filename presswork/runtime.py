@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Estimated bytes up to which a side may be broadcast by an explicit hint.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def build_session(app: str = "presswork", master: str = "local[*]", partitions: int = 8) -> SparkSession:
