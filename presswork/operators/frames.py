@@ -229,12 +229,26 @@ def dynamics_series(points: DataFrame, assigned: DataFrame) -> DataFrame:
 def topic_tokens(c: Column, most: int = 220) -> Column:
     """The words of a text that may name a topic: Cyrillic ones of three letters on, without stopwords."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    for p in (r"https?://\S+", r"(?U)\b\d{8,}\b", r"(?U)\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"(?U)\b\d+\b", r"(?U)\b[a-z]{1,4}\d+[a-z0-9-]*\b", r"(?U)\b[a-z0-9_-]+\b", r"(?U)[^\w\s\-а-яё]"):
+    # Marks and joiners are no word signs in the rule, but are for (?U)\w; other numbers (²) the other way round.
+    for p in (r"(?U)https?://\S+", r"[\p{M}\p{Pc}\u200C\u200D&&[^_]]", r"(?U)\b\d{8,}\b", r"(?U)\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"(?U)\b\d+\b", r"(?U)\b[a-z]{1,4}\d+[a-z0-9-]*\b", r"(?U)\b[a-z0-9_-]+\b", r"(?U)[^\w\s\-\p{N}]"):
         low = F.regexp_replace(low, p, " ")
     words = F.split(F.trim(F.regexp_replace(low, r"(?U)\s+", " ")), " ")
     return F.slice(F.filter(words, lambda x: (F.length(x) >= 3) & ~x.isin(*TOPIC_STOPWORDS) & ~x.rlike("^[a-z0-9_-]+$")), 1, most)
 
 
+def topic_words(docs: DataFrame, chunks: int = 4, least: int = 160) -> DataFrame:
+    """docs (title, subtitle, body_text, chunk_texts) with words: the topic text of a document, word by word.
+
+    Title, subtitle and the first chunks (the whole body where there are none) go through topic_tokens
+    one by one; where they join to less than ``least`` signs, the whole body takes their place.
+    """
+    texts = F.coalesce("chunk_texts", F.array().cast("array<string>"))
+    parts = F.concat(F.array("title", "subtitle"), F.when(F.size(texts) > 0, F.slice(texts, 1, chunks)).otherwise(F.array("body_text")))
+    told = docs.withColumn("__parts", F.filter(F.transform(parts, lambda x: topic_tokens(x)), lambda x: F.size(x) > 0))
+    merged = F.array_join(F.transform("__parts", lambda x: F.array_join(x, " ")), "\n\n")
+    return told.withColumn("words", F.when(F.length(merged) < least, topic_tokens(F.col("body_text"))).otherwise(F.flatten("__parts"))).drop("__parts")
+
+
 def topic_keywords(docs: DataFrame, most: int = 8) -> DataFrame:
     """(topic_id, keywords): the most frequent words of four letters on over (topic_id, doc_id, text); ties go to the smaller word."""
     words = docs.select("topic_id", F.explode(topic_tokens(F.col("text"))).alias("word")).where(F.length("word") >= 4)
@@ -244,8 +258,8 @@ def topic_keywords(docs: DataFrame, most: int = 8) -> DataFrame:
 
 
 def ctfidf(docs: DataFrame, most: int = 8) -> DataFrame:
-    """(topic_id, word, score, rank) by class-based tf-idf: tf * log(1 + A / f)."""
-    words = docs.select("topic_id", F.explode(topic_tokens(F.col("text"))).alias("word"))
+    """(topic_id, word, score, rank) by class-based tf-idf over (topic_id, words): tf * log(1 + A / f)."""
+    words = docs.select("topic_id", F.explode("words").alias("word"))
     tf = words.groupBy("topic_id", "word").agg(F.count("*").alias("tf"))
     size = tf.groupBy("topic_id").agg(F.sum("tf").alias("size"))
     mean = size.agg(F.avg("size")).scalar()

@@ -299,6 +299,7 @@ def dynamics_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topic_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Title, subtitle and the first 400 signs of the body: the text of topic_keywords only."""
     a = table(spark, d, "articles")
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("subtitle", F.lit("")), F.substring(F.coalesce("body_text", F.lit("")), 1, 400))
     return a.where(t.optional(F.col("category")).isNotNull()).select(t.optional(F.col("category")).alias("topic_id"), F.col("id").alias("doc_id"), text.alias("text"))
@@ -310,7 +311,10 @@ def topic_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_ctfidf(spark: SparkSession, d: str) -> DataFrame:
-    return frames.ctfidf(_topic_docs(spark, d))
+    """The telling words of every category over its articles' whole topic texts."""
+    a = table(spark, d, "articles").select(F.col("id").alias("article_id"), t.optional(F.col("category")).alias("topic_id"), "title", "subtitle", "body_text").where("topic_id is not null")
+    docs = a.join(chunking.ordered_chunks(table(spark, d, "article_chunks")), "article_id", "left")
+    return frames.ctfidf(frames.topic_words(docs))
 
 
 def json_salvage(spark: SparkSession, d: str) -> DataFrame:

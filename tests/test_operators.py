@@ -91,6 +91,26 @@ def test_classification_margin_and_reasons(spark):
     assert got == {"f1": ("c1", "embedding_similarity"), "f2": (None, "unknown_or_ambiguous"), "f3": (None, "missing_embedding"), "f4": (None, "unknown_or_ambiguous")}
 
 
+def test_topic_text_is_whole(spark):
+    said = lambda stem, n: " ".join(stem + chr(0x430 + i // 32) + chr(0x430 + i % 32) for i in range(n))
+    long, late = said("слово", 300), said("поздно", 40)
+    rows = [(1, "Заголовок статьи", None, "тело", [long, "кусок " + late, None, "четвёртый", "пятый"]), (2, "Второй", "Подзаголовок", said("начало", 60) + " " + late, None),
+            (3, "Третий", None, "короткое тело", ["кусок"]), (4, None, None, None, None), (5, "Words in English 12", "", "All in English", [])]
+    docs = spark.createDataFrame(rows, "topic_id int, title string, subtitle string, body_text string, chunk_texts array<string>")
+    got = {r["topic_id"]: r["words"] for r in frames.topic_words(docs).collect()}
+    assert got[1] == ["заголовок", "статьи", *long.split()[:220], "кусок", *late.split(), "четвёртый"]
+    assert got[2] == ["второй", "подзаголовок", *said("начало", 60).split(), *late.split()]
+    assert got[3] == ["короткое", "тело"] and got[4] == got[5] == []
+    assert "поздноаа" in {r["word"] for r in frames.ctfidf(frames.topic_words(docs), 400).where("topic_id = 2").collect()}
+
+
+def test_topic_ctfidf_reads_past_the_beginning(spark, tmp_path):
+    body = " ".join(["начало"] * 80) + " редкость"
+    spark.createDataFrame([(1, "м", None, body, "t"), (2, "м", None, "иное " * 90, "u")], "id bigint, title string, subtitle string, body_text string, category string").write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([], "article_id bigint, chunk_index int, chunk_text string").write.parquet(f"{tmp_path}/article_chunks.parquet")
+    assert {r["word"] for r in Q.topic_ctfidf(spark, str(tmp_path)).where("topic_id = 't'").collect()} == {"начало", "редкость"}
+
+
 def test_density_clusters():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 0.05, (20, 4)), rng.normal(5, 0.05, (15, 4)), rng.normal(-6, 0.05, (12, 4)), rng.uniform(-20, 20, (5, 4))])
