@@ -1,12 +1,13 @@
 """The most similar vectors of every vector, by an inverted file with product-quantised residuals.
 
-Equal vectors are one entry, so that copies never meet in pairs. The entries of one model and
+Vectors of one direction (equal or scaled) are one entry, so that copies never meet in pairs. The entries of one model and
 length form a space; its coarse centroids and the code books of the residuals are fitted on a
 bounded sample. Every entry is put into the list of its nearest centroid, as its code and vector,
 and is sent as a query to the lists of its ``probes`` nearest centroids. Neighbouring lists share a
 shard, so that a query travels once for several of them. In a shard, a table of products between
 query and code books gives the approximate similarity of every list member (asymmetric distance);
-the best of them are ranked anew by the exact cosine.
+the members under the best codes, all of them, are ranked anew by the exact cosine.
+Where the exact cosines tie at the last place wanted, all members of the query's lists are ranked.
 
 Defined results
   * null vectors, empty ones, and those that hold null, NaN or infinity or are all zero, are left out;
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
@@ -34,8 +35,11 @@ SMALL, MOST_SPACES = 4_096, 128
 #: Lists for n entries: LISTS_PER_ROOT * sqrt(n), at most MOST_LISTS; sampled entries per list.
 LISTS_PER_ROOT, MOST_LISTS, SAMPLE_PER_LIST = 2.0, 4_096, 32
 PROBES, ROUNDS = 12, 6
-#: Dimensions of a sub-vector, its code words, and candidates ranked anew per query and shard.
+#: Dimensions of a sub-vector, its code words, and codes whose members are ranked anew per query and shard.
 SUB, WORDS, RERANK = 8, 256, 64
+#: Steps of a unit vector's number: vectors that agree in all steps have one direction. Cosines of such
+#: differ by far less than the nine digits they are rounded to, and far more than floats err.
+STEPS = 1e12
 #: Entries wanted in a shard; larger shards are split into blocks that see all its queries.
 SHARD_ROWS = 12_000
 
@@ -90,6 +94,17 @@ class Space:
         return np.einsum("qmd,mwd->qmw", self._subs(q), self.books, optimize=True)
 
 
+def _direction(v: Column) -> Column:
+    """The unit vector in whole steps: equal for vectors that are multiples of each other.
+
+    Largest number and length are accumulators, so that they are taken once a vector; numbers are
+    divided by the largest first, as squares may leave the range.
+    """
+    steps = lambda m, s: F.transform(v, lambda x: F.rint(x / m / F.sqrt(s) * STEPS).cast("bigint"))
+    squares = lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / m) * (x / m), lambda s: steps(m, s))
+    return F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)), squares)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(1, keepdims=True)
     x = x / big
@@ -99,14 +114,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def entries(df: DataFrame, key: str = "frame_id", vector: str = "vector", model: str = "model_name") -> tuple[DataFrame, DataFrame]:
     """(frames, classes): (space, frame, vid) of every valid frame; (space, vid, vector, members).
 
-    vid is the smallest frame of the equal vectors; members are the K + 1 smallest, which are all
-    that can ever be chosen as neighbours. Only 128-bit stand-ins of the vectors are grouped.
+    vid is the smallest frame of the vectors of one direction; members are the K + 1 smallest, which
+    are all that can ever be chosen as neighbours. Only 128-bit stand-ins of the directions are grouped.
     """
     v = F.col(vector)
     sane = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = df.where(v.isNotNull() & sane & F.col(key).isNotNull()).select(F.xxhash64(model, F.size(v)).alias("space"), F.col(key).alias("frame"), v.alias("vector"))
     rows = rows.groupBy("space", "frame").agg(F.min("vector").alias("vector"))
-    rows = written(rows.withColumns({"h1": F.xxhash64("vector", F.lit(1)), "h2": F.xxhash64(F.lit(2), F.reverse("vector"))}), "vectors")
+    rows = rows.withColumn("way", _direction(F.col("vector")))
+    rows = written(rows.withColumns({"h1": F.xxhash64("way", F.lit(1)), "h2": F.xxhash64(F.lit(2), F.reverse("way"))}).drop("way"), "vectors")
     small = rows.select("space", "frame", "h1", "h2")
     reps = small.groupBy("space", "h1", "h2").agg(F.min("frame").alias("vid"), F.count("*").alias("n"))
     frames = small.join(reps, ["space", "h1", "h2"]).select("space", "frame", "vid", "n")
@@ -176,6 +192,14 @@ def _frame(space: int, rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"shard": "int32", "block": "int32", "kind": "int8"})
 
 
+def _tied(sim: np.ndarray, k: int, least: float) -> bool:
+    """Whether the k-th similarity, with or without the query itself, equals the next one."""
+    if len(sim) <= k:
+        return False
+    best = np.sort(sim)[::-1][k - 1 : k + 2]
+    return bool(((best[:-1] == best[1:]) & (best[1:] >= least)).any())
+
+
 class _Shard:
     """The lists of one shard block, and the search in them."""
 
@@ -186,9 +210,18 @@ class _Shard:
         self.unit = _unit(np.stack([np.frombuffer(vecs[i], dtype=np.float64) for i in order]))
         if space is not None:
             told = np.frombuffer(b"".join([aux[i] for i in order]), dtype=np.uint8).reshape(len(order), -1)
-            cells = np.ascontiguousarray(told[:, :4]).view(np.int32).ravel()
-            self.codes = told[:, 4:]
-            self.members = {c: np.flatnonzero(cells == c) for c in np.unique(cells)}
+            # Members with one list and code have the same approximate similarity: they are taken or left together.
+            rows, of = np.unique(told, axis=0, return_inverse=True)
+            self.size = np.bincount(of.ravel())
+            self.places, self.start = np.argsort(of.ravel(), kind="stable"), np.cumsum(self.size) - self.size
+            cells = np.ascontiguousarray(rows[:, :4]).view(np.int32).ravel()
+            self.codes = rows[:, 4:]
+            self.lists = {c: np.flatnonzero(cells == c) for c in np.unique(cells)}
+
+    def _members(self, codes: np.ndarray) -> np.ndarray:
+        """Places of all members of the given codes."""
+        n = self.size[codes]
+        return self.places[np.repeat(self.start[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     def search(self, vids: list[str], vecs: list[bytes], aux: list[bytes], k: int, least: float) -> Iterator[tuple[str, str, float]]:
         q = _unit(np.stack([np.frombuffer(v, dtype=np.float64) for v in vecs]))
@@ -203,14 +236,14 @@ class _Shard:
         wanted: dict[int, list[int]] = {}
         for i, a in enumerate(aux):
             for c in np.frombuffer(a, dtype=np.int32).tolist():
-                if c in self.members:
+                if c in self.lists:
                     wanted.setdefault(c, []).append(i)
-        # The candidates of each query over its lists here: approximate similarity and place.
+        # The candidates of each query over its lists here: approximate similarity and code.
         approx: list[list[np.ndarray]] = [[] for _ in q]
-        places: list[list[np.ndarray]] = [[] for _ in q]
+        chosen: list[list[np.ndarray]] = [[] for _ in q]
         tables = self.space.tables(f)
         for c, who in wanted.items():
-            at = self.members[c]
+            at = self.lists[c]
             code = self.codes[at]
             score = np.repeat(coarse[who, c][:, None], len(at), axis=1)
             mine = tables[who]
@@ -224,14 +257,19 @@ class _Shard:
                 at = np.broadcast_to(at, score.shape)
             for j, i in enumerate(who):
                 approx[i].append(score[j])
-                places[i].append(at[j])
+                chosen[i].append(at[j])
         for i in range(len(q)):
-            if not places[i]:
+            if not chosen[i]:
                 continue
-            at, score = np.concatenate(places[i]), np.concatenate(approx[i])
-            if len(at) > RERANK:
-                at = at[np.argpartition(-score, RERANK - 1)[:RERANK]]
+            codes, score = np.concatenate(chosen[i]), np.concatenate(approx[i])
+            if len(codes) > RERANK:
+                codes = codes[np.argpartition(-score, RERANK - 1)[:RERANK]]
+            at = self._members(codes)
             sim = np.round(self.unit[at] @ q[i], 9)
+            if _tied(sim, k, least):
+                # Members left out may tie too, and have smaller ids.
+                at = self._members(np.concatenate([self.lists[c] for c in np.frombuffer(aux[i], dtype=np.int32).tolist() if c in self.lists]))
+                sim = np.round(self.unit[at] @ q[i], 9)
             keep = sim >= least
             yield from self._best(vids[i], at[keep], sim[keep], k)
 

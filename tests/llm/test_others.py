@@ -43,6 +43,31 @@ def test_index_recall(spark, monkeypatch):
     assert len(want) > 500 and len(want & got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-8])
+def test_index_ties_of_scaled_copies(spark, monkeypatch, noise):
+    # A third of the rows has one direction, but no two of these vectors are equal.
+    monkeypatch.setattr(knn, "SMALL", 500)
+    monkeypatch.setattr(knn, "SHARD_ROWS", 600)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(100, 32))
+    x = centres[rng.integers(0, 100, 1800)] + 0.25 * rng.normal(size=(1800, 32))
+    hot = rng.permutation(1800)[:600]
+    x[hot] = rng.uniform(0.1, 9, (600, 1)) * (centres[0] + noise * rng.normal(size=(600, 32)))
+    rows = [(f"v{i:05}", None, [float(z) for z in v], "m", "") for i, v in enumerate(x)]
+    got = {}
+    for r in knn.frame_neighbours(vectors(spark, rows).repartition(4)).collect():
+        got.setdefault(r["frame"], set()).add(r["other"])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.flatnonzero(np.round(u @ u[hot[0]], 9) >= 0.85)
+    assert len(near) > 600
+    for i in near:
+        s = np.round(u @ u[i], 9)
+        s[i] = -2
+        want = {f"v{j:05}" for j in np.argsort(-s, kind="stable")[:5]}
+        # With noise only the copies' own cosines tie.
+        assert got[f"v{i:05}"] == want or noise and i not in hot
+
+
 def test_survivors_follow_trust_then_time_then_id(spark):
     arts = spark.createDataFrame([
         (1, 10, "g", "T1", "—", "A", None, "2025-01-01 00:00:00", "x"), (2, 20, "g", "T2", None, " ", "C2", None, "x"), (3, 20, None, "T3", "S3", None, "C3", "2025-02-01 00:00:00", "x"),
