@@ -245,6 +245,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The frames' vectors of one model only; frames that have vectors of another model alone are not covered."""
     e = table(spark, d, "frame_embeddings").where("model_name = 'narr-embed-a64' and vector is not null and size(vector) = 64 and forall(vector, x -> x is not null and not isnan(x))")
     return e.groupBy("frame_id").agg(F.min("vector").alias("vector"))
 
