@@ -10,6 +10,7 @@ Defined results
   * null, blank, wordless or impossible texts (``0000-00-00``, 30 February, 25:00) give null;
   * a zone, offset or abbreviation in the text wins over the zone of the row;
   * a row without any zone is read as UTC; an unknown zone name gives null;
+  * a wall time after 2099 has the offset that its zone has at the end of 2099;
   * a time that occurs twice is its first pass, a skipped one moves forward by the jump;
   * repeated rows and repeated ids each keep their own result, extra columns pass through.
 """
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 US = 1_000_000
 DAY_US = 86_400 * US
-#: Years that the interval table covers; its first and last intervals are open beyond them.
-FIRST_YEAR, LAST_YEAR = 1970, 2049
+#: Years that the interval table covers, from before the zone files' first changes; its first and last intervals are open beyond them.
+FIRST_YEAR, LAST_YEAR = 1840, 2099
 #: No yearly rule keeps an offset for a shorter time than this.
 PROBE_DAYS = 28
 
@@ -131,7 +132,7 @@ def _offset_changes(name: str) -> list[tuple[int, int]]:
 def _interval_rows() -> pa.Table:
     """One row per (zone, decade): its offset intervals in local time.
 
-    Its size depends on the zone database alone (about 600 zones, eight decades). ``until`` is
+    Its size depends on the zone database alone (about 600 zones, 26 decades). ``until`` is
     the local end of the interval, ``jump_until`` the local start of the next one if that is
     later: times between the two were skipped.
     """

@@ -67,6 +67,15 @@ def test_every_half_hour_of_a_year_agrees_with_the_zone_database(spark, zone):
         assert got[w.strftime("%Y-%m-%d %H:%M")] == int(w.replace(tzinfo=ZoneInfo(zone)).astimezone(timezone.utc).timestamp()) * US
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/Berlin", "Asia/Manila", "Africa/Monrovia", "Australia/Sydney"])
+def test_early_and_late_years_agree_with_the_zone_database(spark, zone):
+    walls = [datetime(y, m, 15, 12) for y in (1840, 1883, 1910, 1944, 1968, 1969, 1970, 2049, 2050, 2055, 2099) for m in (1, 7)]
+    df = spark.createDataFrame([(w.strftime("%Y-%m-%d %H:%M"), zone) for w in walls], "text string, tz string")
+    got = {r["text"]: r["utc_us"] for r in normalise_timestamps(df, "text", "tz").collect()}
+    for w in walls:
+        assert got[w.strftime("%Y-%m-%d %H:%M")] == us(w.year, w.month, 15, 12, zone=zone), w
+
+
 def test_repeated_rows_clashing_columns_and_empty_tables(spark):
     arts = spark.createDataFrame([(1, 7, "2025-01-01 10:00", "a"), (1, 7, "2025-01-01 10:00", "a"), (2, 9, None, "b"), (3, None, "20250101", "c")], "id bigint, source_id bigint, published_at string, time_zone string")
     prof = spark.createDataFrame([(7, "Europe/Berlin", "DMY", "x")], "source_id bigint, time_zone string, date_order string, id string")
