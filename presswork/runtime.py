@@ -33,16 +33,39 @@ def build_session(app: str = "presswork", master: str = "local[*]", partitions:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) a temporary folder is used.
+    Only a local session without the setting gets a temporary folder; a cluster without it is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         told = tempfile.mkdtemp(prefix="presswork-")
         spark.sparkContext.setCheckpointDir(told)
         told = spark.sparkContext.getCheckpointDir() or told
     return told
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+_scratch: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        path = os.path.join(shared_folder(spark), f"presswork-{app}")
+        fs, at = _file_system(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _scratch[app] = path
+    return _scratch[app]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
@@ -50,18 +73,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     checkpoint, it is compressed and its columns can be pruned.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Remove tables made by :func:`written` that no later plan reads."""
+    for df in dfs:
+        for name in df.inputFiles()[:1]:
+            remove_folder(df.sparkSession, os.path.dirname(name))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
