@@ -1,12 +1,13 @@
 """New batches checked against all that was accepted before, without working through it again.
 
 Rows match by url, by content hash, by their squeezed body, or by the Jaccard similarity of their
-runs of five words. Equal texts are one class; the classes' runs are ordered rarest first by a count
-sketch of fixed size over all documents, and the beginning of that order - the only part in which
-two similar sets must meet - is kept as an inverted index of postings partitioned by run. A batch's
-beginnings probe the index; sizes and positions bound the overlap, and what is left is verified on
-the whole texts. Accepted rows' postings are appended. The order is frozen when the index is made:
-any order is exact, later runs only make it less sharp.
+runs of five words. A text is worked through once in its life: its keys and the numbers of its runs
+are kept in the index's rows. Equal texts are one class; the classes' runs are ordered rarest first
+by a count sketch of fixed size over all documents, and the beginning of that order - the only part
+in which two similar sets must meet - is kept as an inverted index of postings, a table bucketed by
+run. A batch's beginnings probe it; sizes and places bound the overlap, and the pairs that are left
+are verified on their whole sets of runs. The accepted rows and their postings are appended. The
+order is frozen when the index is made: any order is exact, later runs only make it less sharp.
 
 Which rows are duplicates depends on the order of their ids, as a row counts only against accepted
 ones. That is settled in rounds over groups of rows: a row is accepted once no smaller undecided or
@@ -15,25 +16,30 @@ accepted row matches it, and is a duplicate once an accepted one does.
 Defined results
   * null and blank urls, null, blank and empty-text hashes, and null and blank bodies match nothing;
   * texts of fewer than five words match by their squeezed body only;
-  * history rows are never duplicates; of repeated ids in a batch the later repeat is not looked at;
+  * history rows are never duplicates; of rows with one id in a batch one is looked at, those without id are not;
+  * rows without a batch number form the first batch; a row only ever repeats one of smaller id;
   * empty history and empty batches are fine; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, forget, written
+from ..runtime import broadcast_if_small, forget, remove_folder, scratch_folder, written
 
 WORDS, SIMILARITY = 5, 0.6
 #: Counters of the sketch that orders the runs; its size does not depend on the data.
 COUNTERS, BLOCK = 1 << 20, 1 << 14
+#: Rows of the first history to a bucket of postings.
+BUCKET_ROWS = 50_000
 # Fixed value: SHA-256 of the empty text.
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -41,15 +47,14 @@ _word = re.compile(r"[^\W_]+").findall
 _known: dict[str, int] = {}
 
 
-def _runs(texts: list[str | None]) -> list[np.ndarray]:
-    """The distinct runs of five words of each text, as sorted 64-bit numbers."""
+def _runs(texts: list[list[str]]) -> list[np.ndarray]:
+    """The distinct runs of five words of each text, given as its words, as sorted 64-bit numbers."""
     import xxhash
 
     if len(_known) > 500_000:
         _known.clear()
     out = []
-    for t in texts:
-        ws = _word(t.lower()) if t else []
+    for ws in texts:
         if len(ws) < WORDS:
             out.append(np.zeros(0, np.uint64))
             continue
@@ -76,52 +81,57 @@ def url_key(url: Column) -> Column:
     return F.when(F.length(key) > 0, key)
 
 
-def _wide(x: Column) -> Column:
-    return F.struct(F.xxhash64(x, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), F.reverse(x)).alias("b"))
+def _wide(x: Column, name: str) -> list[Column]:
+    """128 bits that stand for a text, null for a null one."""
+    return [F.when(x.isNotNull(), F.xxhash64(x, F.lit(1))).alias(f"{name}_a"), F.when(x.isNotNull(), F.xxhash64(F.lit(2), F.reverse(x))).alias(f"{name}_b")]
 
 
-def keyed(df: DataFrame, key: str = "id", url: str = "url", digest: str = "content_hash", body: str = "body_text") -> DataFrame:
-    """(id, url_key, hash_key, text_key): 128-bit keys, null where there is nothing to compare.
+_KEYS = ("url_a", "url_b", "hash_a", "hash_b", "text_a", "text_b")
+_ROW = "id bigint, " + ", ".join(f"{k} bigint" for k in _KEYS) + ", runs binary"
 
-    text_key stands for the words of a text of at least five words, else for its squeezed body.
-    """
-    blank = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-    # Each step is a projection of its own, so that no text is worked through twice.
-    rows = df.select(F.col(key).alias("id"), url_key(F.col(url)).alias("__url"), F.lower(F.trim(digest)).alias("__hash"), F.trim(F.regexp_replace(body, blank, " ")).alias("__text"))
-    rows = rows.withColumn("__words", F.trim(F.regexp_replace(F.lower("__text"), r"[^\p{L}\p{N}]+", " ")))
-    rows = rows.withColumn("__enough", F.length("__words") - F.length(F.translate("__words", " ", "")) >= WORDS - 1)
-    rows = rows.withColumn("__same", F.when(F.col("__enough"), F.concat(F.lit("w"), "__words")).when(F.col("__text") != "", F.concat(F.lit("b"), "__text")))
-    wide = lambda c, ok: F.when(ok, _wide(F.col(c)))
-    return rows.select(
-        "id", wide("__url", F.col("__url").isNotNull()).alias("url_key"), wide("__hash", (F.col("__hash") != "") & (F.col("__hash") != EMPTY_HASH)).alias("hash_key"),
-        wide("__same", F.col("__same").isNotNull()).alias("text_key"),
-    )
-
-
-def _classes(df: DataFrame, keys: DataFrame, key: str, body: str) -> DataFrame:
-    """(cls, text): one row per class of equal texts, and cls its smallest id.
 
-    The ids of the other rows are taken away: they are few unless most texts are copies, and then the
-    anti-join shuffles; the texts themselves are read anew where they are needed, not written again.
-    """
-    reps = keys.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"))
-    rest = keys.join(reps, "text_key", "left").where("rep is null or rep <> id").select(F.col("id").alias("cls"))
-    return df.select(F.col(key).alias("cls"), F.col(body).alias("text")).join(broadcast_if_small(written(rest, "repeats")), "cls", "left_anti")
+def rows_of(df: DataFrame, key: str = "id", url: str = "url", digest: str = "content_hash", body: str = "body_text", sketch: bool = False) -> DataFrame:
+    """(id, keys, runs): what is ever needed of each row; one narrow stage.
 
+    The text's key stands for its words if it has at least WORDS, else for its squeezed body. With
+    sketch, each partition adds its counts of runs, as rows without id: block number and counts.
+    """
+    told = F.lower(F.trim(digest))
+    some = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), url_key(F.col(url)).alias("u"), F.when((told != "") & (told != EMPTY_HASH), told).alias("h"), F.col(body).alias("text"))
 
-def count_sketch(classes: DataFrame) -> np.ndarray:
-    """Counts of all classes' runs, by COUNTERS residues; each partition sends its own once."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
+        names = ["id", *_KEYS, "runs"]
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                runs = _runs(b.column(0).slice(i, 512).to_pylist())
-                if len(all_ := np.concatenate(runs)):
-                    total += np.bincount((all_ & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        if total.any():
-            parts = [total[i : i + BLOCK].astype(np.int32).tobytes() for i in range(0, COUNTERS, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+                part = b.slice(i, 512)
+                words, same = [], []
+                for t in part.column(5).to_pylist():
+                    ws = _word(t.lower()) if t else []
+                    words.append(ws)
+                    plain = ("w" + " ".join(ws)) if len(ws) >= WORDS else "b" + " ".join(t.split()) if t else "b"
+                    same.append(xxhash.xxh3_128_digest(plain) if plain != "b" else b"\0" * 16)
+                runs = _runs(words)
+                if sketch and len(all_ := np.concatenate(runs)):
+                    counts += np.bincount((all_ & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                wide = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
+                none = ~wide.any(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:5], *[pa.array(wide[:, j], mask=none) for j in range(2)], pa.array([r.tobytes() for r in runs], pa.binary())], names
+                )
+        if counts.any():
+            blocks = [np.minimum(counts[i : i + BLOCK], 2**31 - 1).astype(np.int32).tobytes() for i in range(0, COUNTERS, BLOCK)]
+            n = len(blocks)
+            nothing = [pa.nulls(n, pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([nothing[0], pa.array(range(n), pa.int64()), *nothing, pa.array(blocks, pa.binary())], names)
+
+    return some.select("id", *_wide(F.col("u"), "url"), *_wide(F.col("h"), "hash"), "text").mapInArrow(make, _ROW)
+
+
+def sketch_of(rows: DataFrame) -> np.ndarray:
+    """The sum of the partitions' counts: COUNTERS numbers in all."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -132,236 +142,215 @@ def count_sketch(classes: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    schema = "block int, counts binary"
+    parts = rows.where("id is null").select(F.col("url_a").cast("int").alias("block"), F.col("runs").alias("counts"))
     out = np.zeros(COUNTERS, np.int32)
-    for r in classes.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # COUNTERS numbers in all
+    for r in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int32)
     return out
 
 
-#: Bits of the fixed-size filter of a batch's runs, and of the signature that bounds an overlap.
-FILTER_BITS, SIGNATURE_BITS = 1 << 26, 512
-_POSTING = "run bigint, cls bigint, size int, pos int, " + ", ".join(f"s{i} bigint" for i in range(SIGNATURE_BITS // 64))
+def representatives(rows: DataFrame) -> DataFrame:
+    """(cls, runs): one row per class of equal texts that has runs, and cls its smallest id.
 
+    The ids of the other rows are taken away: they are few unless most texts are copies, and then the
+    anti-join shuffles.
+    """
+    keys = rows.where("text_a is not null").select("id", "text_a", "text_b")
+    reps = keys.groupBy("text_a", "text_b").agg(F.min("id").alias("rep"))
+    rest = keys.join(reps, ["text_a", "text_b"]).where("rep <> id").select(F.col("id").alias("cls"))
+    return rows.where("length(runs) > 0").select(F.col("id").alias("cls"), "runs").join(broadcast_if_small(written(rest, "repeats")), "cls", "left_anti")
 
-def postings(classes: DataFrame, order, similarity: float = SIMILARITY, wanted=None) -> DataFrame:
-    """(run, cls, size, pos, s0..): the rarest runs of every class, as many as a similar set must share one of.
 
-    Each class has one more row, without a run, whose s columns are its signature: the bits of all
-    its runs' hashes. order is the broadcast sketch; wanted, if given, a batch's broadcast filter:
-    runs outside it are not made postings.
-    """
-    longs = SIGNATURE_BITS // 64
+_POSTING = "run bigint, cls bigint, size int, pos int"
+
+
+def postings(classes: DataFrame, order, similarity: float = SIMILARITY) -> DataFrame:
+    """(run, cls, size, pos): the rarest runs of every class, as many as a similar set must share one of."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
-        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                runs = _runs(part.column(1).to_pylist())
-                n = np.array([len(h) for h in runs])
-                if not n.sum():
-                    continue
+                raw = part.column(1).to_pylist()
+                n = np.array([len(x) // 8 for x in raw])
                 # All texts at once: their runs in order of the sketch, and the places in that order.
-                flat, at = np.concatenate(runs), np.repeat(np.arange(len(n)), n)
+                flat, at = np.frombuffer(b"".join(raw), np.uint64), np.repeat(np.arange(len(n)), n)
                 seen = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 by = np.lexsort((flat, seen, at))
-                flat = flat[by]
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                keep = pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[at]
-                if bits is not None:
-                    f = _filter_bit(flat)
-                    keep &= (bits[f >> 3] >> (f & 7).astype(np.uint8)) & 1 == 1
-                sig = np.zeros((len(n), SIGNATURE_BITS), np.uint8)
-                sig[at, (flat >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
-                sig = np.packbits(sig, axis=1).view(np.int64)
-                has = np.flatnonzero(n)
-                ids = np.concatenate([at[keep], has])
-                none = np.zeros(int(keep.sum()), dtype=bool)
-                is_sig = np.concatenate([none, np.ones(len(has), bool)])
-                cols = [
-                    pa.array(np.concatenate([flat[keep].view(np.int64), np.zeros(len(has), np.int64)]), mask=is_sig), part.column(0).take(pa.array(ids)),
-                    pa.array(n[ids].astype(np.int32)), pa.array(np.concatenate([pos[keep], np.zeros(len(has), np.int64)]).astype(np.int32)),
-                ]
-                cols += [pa.array(sig[ids, j], mask=~is_sig) for j in range(longs)]
-                yield pa.RecordBatch.from_arrays(cols, ["run", "cls", "size", "pos", *[f"s{j}" for j in range(longs)]])
-
-    return classes.select("cls", "text").mapInArrow(make, _POSTING)
-
-
-def _filter_bit(run: np.ndarray) -> np.ndarray:
-    return ((run >> np.uint64(7)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def run_filter(probe: DataFrame) -> bytes:
-    """FILTER_BITS bits, set for the runs of a batch: it only ever saves work, whatever the batch's size."""
-    size = FILTER_BITS // 8 // 64
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        some = False
-        for b in batches:
-            f = _filter_bit(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            np.bitwise_or.at(bits, f >> 3, (1 << (f & 7)).astype(np.uint8))
-            some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([bits[i * size : (i + 1) * size].tobytes() for i in range(64)], pa.binary())], ["block", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[block] = held.get(block, np.uint8(0)) | np.frombuffer(x, np.uint8)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+                keep = np.flatnonzero(pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[at])
+                own = at[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[by][keep].view(np.int64)), part.column(0).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                    ["run", "cls", "size", "pos"],
+                )
 
-    out = bytearray(FILTER_BITS // 8)
-    rows = probe.where("run is not null").select("run").mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(join, "block int, bits binary")
-    for r in rows.toLocalIterator():  # FILTER_BITS in all
-        out[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
-    return bytes(out)
+    return classes.select("cls", "runs").mapInArrow(make, _POSTING)
 
 
 def candidates(probe: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls, other): pairs whose sizes, places of shared runs and signatures leave room for the similarity.
+    """(cls, other): pairs whose sizes and places of shared runs leave room for the similarity.
 
-    The join is on the run; a run that many classes share stands at the end of their order and is
-    seldom kept, and where it is, the join's skewed partitions are split at run time. A signature bit
-    that only one side has stands for at least one run that the other lacks.
+    A probe of a checked size is broadcast, so that the index is not moved at all; a larger one goes
+    to the buckets of the index. A run that many classes share stands at the end of their order and
+    is seldom kept, and where it is, the join's skewed partitions are split at run time.
     """
-    p = probe.where("run is not null").select("run", "cls", F.col("size").alias("n"), F.col("pos").alias("i"))
-    q = index.where("run is not null").select("run", F.col("cls").alias("other"), F.col("size").alias("m"), F.col("pos").alias("j"))
+    p = probe.select("run", "cls", F.col("size").alias("n"), F.col("pos").alias("i"))
+    q = index.select("run", F.col("cls").alias("other"), F.col("size").alias("m"), F.col("pos").alias("j"))
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6)
     near = (F.col("m") >= similarity * F.col("n") - 1e-6) & (F.col("n") >= similarity * F.col("m") - 1e-6)
-    room = (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
-    met = p.join(q, "run").where((F.col("cls") != F.col("other")) & near & room).select("cls", "other").distinct()
-    longs = range(SIGNATURE_BITS // 64)
-    a = probe.where("run is null").select("cls", F.col("size").alias("n"), *[F.col(f"s{i}").alias(f"a{i}") for i in longs])
-    b = index.where("run is null").select(F.col("cls").alias("other"), F.col("size").alias("m"), *[F.col(f"s{i}").alias(f"b{i}") for i in longs])
-    both = met.join(a, "cls").join(b, "other")
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in longs), F.lit(0))
-    return both.where((F.col("n") - only("a", "b") >= need) & (F.col("m") - only("b", "a") >= need)).select("cls", "other")
+    # At the first shared run, what stands before it on either side is lost, and so is what one side has left over.
+    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need
+    return q.join(broadcast_if_small(p), "run").where((F.col("cls") != F.col("other")) & near & room).select("cls", "other").distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls, other) of the pairs whose whole texts are similar enough."""
-    pairs = written(pairs, "pairs")
-    one, two = pairs.select("cls").distinct(), pairs.select("other").distinct()
-    a = left.join(broadcast_if_small(written(one, "asked")), "cls", "left_semi").select("cls", F.col("text").alias("text_a"))
-    b = right.withColumnRenamed("cls", "other").join(broadcast_if_small(written(two, "met")), "other", "left_semi").select("other", F.col("text").alias("text_b"))
-    both = pairs.join(a, "cls").join(b, "other").select("cls", "other", "text_a", "text_b")
+    """(cls, other) of the pairs whose whole sets of runs are similar enough; left and right have (id, runs)."""
+    one, two = pairs.select(F.col("cls").alias("id")).distinct(), pairs.select(F.col("other").alias("id")).distinct()
+    a = left.join(broadcast_if_small(one), "id", "left_semi").select(F.col("id").alias("cls"), F.col("runs").alias("runs_a"))
+    b = right.join(broadcast_if_small(two), "id", "left_semi").select(F.col("id").alias("other"), F.col("runs").alias("runs_b"))
+    both = pairs.join(a, "cls").join(b, "other").select("cls", "other", "runs_a", "runs_b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, cache = [], {}
-            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for x, y in zip(xs, ys, strict=True):
-                for t in (x, y):
-                    if t not in cache:
-                        cache[t] = _runs([t])[0]
-                u, v = cache[x], cache[y]
-                both_ = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both_ > 0 and both_ >= similarity * (len(u) + len(v) - both_) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["cls", "other"]).filter(pa.array(keep))
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                u = np.sort(np.frombuffer(x + y, np.uint64))
+                same = int((u[1:] == u[:-1]).sum())
+                keep.append(same > 0 and same >= similarity * (len(u) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["cls", "other"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(test, "cls bigint, other bigint")
 
 
-class History:
-    """What was accepted so far: keys, classes of texts, and the inverted index, as written tables."""
+class Index:
+    """What was accepted so far, in a folder of its own: rows, postings bucketed by run, and their order.
+
+    ``create`` makes it from a first history, ``open`` takes up one that was made before, ``check``
+    probes it with a batch, and ``append`` adds a batch's accepted rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int) -> None:
+        self.spark, self.folder, self.name = spark, folder, f"presswork_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {self.name} ({_POSTING}) USING parquet CLUSTERED BY (run) SORTED BY (run) INTO {buckets} BUCKETS LOCATION '{os.path.join(folder, 'postings')}'")
+        self.buckets = buckets
 
-    def __init__(self, keys: DataFrame, classes: DataFrame, index: DataFrame, order) -> None:
-        self.keys, self.classes, self.index, self.order = keys, classes, index, order
+    @classmethod
+    def create(cls, df: DataFrame, folder: str) -> Index:
+        spark = df.sparkSession
+        rows_of(df, sketch=True).write.parquet(os.path.join(folder, "rows"))
+        held = spark.read.schema(_ROW).parquet(os.path.join(folder, "rows"))
+        counts = sketch_of(held)
+        buckets = int(max(8, held.where("id is not null").count() // BUCKET_ROWS))
+        spark.createDataFrame([(buckets, counts.tobytes())], "buckets int, counts binary").write.parquet(os.path.join(folder, "order"))
+        out = cls(spark, folder, buckets)
+        out._order(counts)
+        out._post(representatives(out.rows))
+        return out
 
     @classmethod
-    def of(cls, df: DataFrame, lasting: bool = True) -> History:
-        """Make the index of a table once; later batches only probe it and append to it.
-
-        An index that is to serve one batch alone (not lasting) is made when that batch is there, of
-        the runs that its filter lets through.
-        """
-        keys = written(keyed(df), "keys")
-        classes = _classes(df, keys, "id", "body_text")
-        order = df.sparkSession.sparkContext.broadcast(count_sketch(classes))
-        return cls(keys, classes, written(postings(classes, order).repartition("run"), "postings") if lasting else None, order)
-
-    def append(self, batch: DataFrame, accepted: DataFrame) -> History:
-        """The history with the accepted rows of a batch: only their own postings are made."""
-        rows = batch.join(accepted.select("id"), "id", "left_semi")
-        keys = written(keyed(rows), "keys")
-        classes = _classes(rows, keys, "id", "body_text")
-        more = written(postings(classes, self.order).repartition("run"), "postings")
-        return History(self.keys.unionByName(keys), self.classes.unionByName(classes), self.index.unionByName(more), self.order)
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        kept = spark.read.parquet(os.path.join(folder, "order")).first()  # one row of COUNTERS numbers
+        out = cls(spark, folder, kept["buckets"])
+        out._order(np.frombuffer(kept["counts"], np.int32))
+        return out
+
+    def _order(self, counts: np.ndarray) -> None:
+        self.order = self.spark.sparkContext.broadcast(counts)
+
+    def _post(self, classes: DataFrame) -> None:
+        # One file a bucket: the rows are dealt as the buckets are.
+        postings(classes, self.order).repartition(self.buckets, "run").sortWithinPartitions("run").write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(_ROW).parquet(os.path.join(self.folder, "rows")).where("id is not null")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, accepted: DataFrame) -> None:
+        """Add rows that :meth:`check` has accepted: only their own postings are made."""
+        accepted = accepted.select("id", *_KEYS, "runs")
+        classes = representatives(accepted)
+        self._post(classes)
+        accepted.write.mode("append").parquet(os.path.join(self.folder, "rows"))
+
+    def close(self, remove: bool = False) -> None:
+        """Drop the catalogue's entry; with remove, the tables too."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if remove:
+            remove_folder(self.spark, self.folder)
 
     def check(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(duplicates, accepted): (kept_id, dup_id), and the ids of the batch that are none."""
-        if batch.select("id").distinct().count() < batch.count():  # repeated ids: one row each
-            batch = batch.dropDuplicates(["id"])
-        keys = written(keyed(batch), "batch-keys")
-        classes = _classes(batch, keys, "id", "body_text")
+        """(duplicates, accepted): (kept_id, dup_id) as a written table, and the rows of the batch that are none."""
+        mine = written(rows_of(batch), "batch")
+        if mine.select("id").distinct().count() < mine.count():  # repeated ids: one row each
+            mine = written(mine.groupBy("id").agg(F.min(F.struct(*_KEYS, "runs")).alias("r")).select("id", "r.*"), "batch")
+        classes = written(representatives(mine), "batch-classes")
         probe = written(postings(classes, self.order), "probe")
-        index = self.index
-        if index is None:
-            wanted = batch.sparkSession.sparkContext.broadcast(run_filter(probe))
-            index = written(postings(self.classes, self.order, wanted=wanted), "postings")
-        old = verified(candidates(probe, index), classes, self.classes)
-        new = verified(candidates(probe, probe).where("cls < other"), classes, classes)
-        near_old, near_new = written(old, "near-old"), written(new, "near-new")
+        old = written(candidates(probe, self.postings), "candidates")
+        new = written(candidates(probe, probe).where("cls < other"), "candidates")
+        near_old = written(verified(old, mine.select("id", "runs"), self.rows.select("id", "runs")), "near")
+        near_new = written(verified(new, mine.select("id", "runs"), mine.select("id", "runs")), "near")
 
         # Each kind of key, and each class of texts, is a group of rows that all match.
-        def groups(k: DataFrame) -> DataFrame:
-            kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(("url_key", "hash_key", "text_key"))])).alias("g")
-            return k.select("id", kinds).where("g.key is not null").select("id", F.xxhash64("g.kind", "g.key").alias("gid"), F.xxhash64(F.lit(7), "g.key.b", "g.kind", "g.key.a").alias("gid2"), "g.kind")
-
-        mine = written(groups(keys), "groups")
-        firsts = groups(self.keys).groupBy("gid", "gid2").agg(F.min("id").alias("first"))
-        by_key = mine.join(firsts, ["gid", "gid2"]).select("id", "first")
-        rep = mine.where("kind = 2").groupBy("gid", "gid2").agg(F.min("id").alias("cls"))
-        of_class = written(mine.where("kind = 2").join(rep, ["gid", "gid2"]).select("id", "cls", "gid", "gid2"), "of-class")
-        # Several accepted appends may hold classes of one text: each stands for its own ids, the smallest counts.
+        def groups(rows: DataFrame) -> DataFrame:
+            kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"{c}_a").alias("a"), F.col(f"{c}_b").alias("b")) for i, c in enumerate(("url", "hash", "text"))])).alias("g")
+            return rows.select("id", kinds).where("g.a is not null").select("id", "g.*")
+
+        gid = ["kind", "a", "b"]
+        own = written(groups(mine), "groups")
+        asked = broadcast_if_small(own.select(gid).distinct())
+        first = groups(self.rows).join(asked, gid, "left_semi").groupBy(gid).agg(F.min("id").alias("first"))
+        by_key = own.join(first, gid).select("id", "first")
+        rep = own.where("kind = 2").groupBy(gid).agg(F.min("id").alias("cls"))
+        of_class = written(own.where("kind = 2").join(rep, gid).select("id", "cls", *gid), "of-class")
+        # Several appends may hold classes of one text: each stands for its own ids, the smallest counts.
         by_text = near_old.join(of_class, "cls").select("id", F.col("other").alias("first"))
-        against = written(by_key.unionByName(by_text).groupBy("id").agg(F.min("first").alias("kept_id")), "against")
+        against = written(by_key.unionByName(by_text).groupBy("id").agg(F.min("first").alias("kept_id")).where("kept_id < id"), "against")
 
-        free = keys.select("id").join(against, "id", "left_anti")
-        members = mine.join(free, "id").select("id", "gid", "gid2")
-        gid_of = of_class.select("cls", "gid", "gid2").distinct()
+        free = mine.select("id").join(against, "id", "left_anti")
         both = near_new.unionByName(near_new.select(F.col("other").alias("cls"), F.col("cls").alias("other")))
-        looks = of_class.join(both, "cls").select("id", F.col("other").alias("cls")).join(gid_of, "cls").select("id", "gid", "gid2")
-        members = written(members, "members")
+        gid_of = of_class.select("cls", *gid).distinct()
+        looks = of_class.join(both, "cls").select("id", F.col("other").alias("cls")).join(gid_of, "cls").select("id", *gid)
+        members = written(own.join(free, "id"), "members")
         looks = written(members.unionByName(looks.join(free, "id")), "looks")
-        # Groups of one row that nobody else looks at settle nothing.
-        state = written(free.select("id", F.lit(0).alias("state")), "state")  # 0 undecided, 1 accepted, 2 duplicate
-        while True:
-            g = members.join(state, "id").groupBy("gid", "gid2").agg(F.min(F.when(F.col("state") == 1, F.col("id"))).alias("acc"), F.min(F.when(F.col("state") == 0, F.col("id"))).alias("und"))
-            seen = looks.join(g, ["gid", "gid2"]).groupBy("id").agg(F.min(F.when(F.col("acc") < F.col("id"), F.col("acc"))).alias("acc"), F.min(F.when(F.col("und") < F.col("id"), F.col("und"))).alias("und"))
+        # Only rows that look at a group with a smaller id wait; all others are accepted at once.
+        head = members.groupBy(gid).agg(F.min("id").alias("head"))
+        waiting = looks.join(head, gid).where("head < id").select("id").distinct()
+        state = written(free.join(waiting.withColumn("waits", F.lit(1)), "id", "left").select("id", F.when(F.col("waits").isNull(), 1).otherwise(0).alias("state")), "state")
+        while not state.where("state = 0").isEmpty():  # 0 undecided, 1 accepted, 2 duplicate
+            g = members.join(state, "id").groupBy(gid).agg(F.min(F.when(F.col("state") == 1, F.col("id"))).alias("acc"), F.min(F.when(F.col("state") == 0, F.col("id"))).alias("und"))
+            open_ = looks.join(state.where("state = 0").select("id"), "id")
+            seen = open_.join(g, gid).groupBy("id").agg(F.min(F.when(F.col("acc") < F.col("id"), F.col("acc"))).alias("acc"), F.min(F.when(F.col("und") < F.col("id"), F.col("und"))).alias("und"))
             fresh = F.when(F.col("state") != 0, F.col("state")).when(F.col("acc").isNotNull(), 2).when(F.col("und").isNull(), 1).otherwise(0)
             nxt = written(state.join(seen, "id", "left").select("id", fresh.alias("state")), "state")
             forget(state)
             state = nxt
-            if state.where("state = 0").isEmpty():
-                break
-        g = members.join(state.where("state = 1"), "id").groupBy("gid", "gid2").agg(F.min("id").alias("acc"))
-        within = looks.join(g, ["gid", "gid2"]).where(F.col("acc") < F.col("id")).groupBy("id").agg(F.min("acc").alias("kept_id"))
-        within = within.join(state.where("state = 2"), "id", "left_semi")
-        found = against.unionByName(within.select("id", "kept_id")).select("kept_id", F.col("id").alias("dup_id"))
-        return found, state.where("state = 1").select("id")
+        g = members.join(state.where("state = 1"), "id").groupBy(gid).agg(F.min("id").alias("acc"))
+        within = looks.join(state.where("state = 2").select("id"), "id").join(g, gid).where(F.col("acc") < F.col("id")).groupBy("id").agg(F.min("acc").alias("kept_id"))
+        found = written(against.unionByName(within.select("id", "kept_id")).select("kept_id", F.col("id").alias("dup_id")), "found")
+        accepted = written(mine.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti"), "accepted")
+        forget(mine, classes, probe, old, new, near_old, near_new, own, of_class, against, members, looks, state)
+        return found, accepted
 
 
-def repeats(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(kept_id, dup_id) of all batches against the history and the accepted rows before them.
+def repeats(history: DataFrame, incoming: DataFrame, batch: str = "batch_no") -> DataFrame:
+    """(kept_id, dup_id) of the batches, one after the other, against the history and what was accepted before.
 
-    As ids follow the batches, all batches may be checked at once: a row only looks at smaller ids.
+    The index of the history is made once; each batch probes it and adds its accepted rows.
     """
-    return History.of(history, lasting=False).check(incoming)[0]
-
-
-def repeats_by_batch(history: DataFrame, incoming: DataFrame, batches: list[int]) -> DataFrame:
-    """The same, batch by batch, with the index appended to in between: what a daily run does."""
-    held, out = History.of(history), None
-    for n in batches:
-        batch = incoming.where(F.col("batch_no") == n)
-        found, accepted = held.check(batch)
-        out = found if out is None else out.unionByName(found)
-        held = held.append(batch, accepted)
+    spark = history.sparkSession
+    index = Index.create(history, os.path.join(scratch_folder(spark), f"index-{uuid.uuid4().hex}"))
+    out = spark.createDataFrame([], "kept_id bigint, dup_id bigint")
+    for (number,) in incoming.select(batch).distinct().orderBy(F.col(batch).asc_nulls_first()).collect():  # one row a batch
+        found, accepted = index.check(incoming.where(F.col(batch).eqNullSafe(number)))
+        index.append(accepted)
+        forget(accepted)
+        out = out.unionByName(found)
+    index.close(remove=True)
     return out
