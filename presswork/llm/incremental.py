@@ -87,11 +87,14 @@ def _wide(x: Column, name: str) -> list[Column]:
 
 
 _KEYS = ("url_a", "url_b", "hash_a", "hash_b", "text_a", "text_b")
-_ROW = "id bigint, " + ", ".join(f"{k} bigint" for k in _KEYS) + ", runs binary"
+#: Bits of the signature that bounds an overlap: those of all runs' hashes.
+SIGNATURE_BITS = 512
+_SIGNS = tuple(f"s{i}" for i in range(SIGNATURE_BITS // 64))
+_ROW = "id bigint, " + ", ".join(f"{k} bigint" for k in (*_KEYS, *_SIGNS, "n")) + ", runs binary"
 
 
 def rows_of(df: DataFrame, key: str = "id", url: str = "url", digest: str = "content_hash", body: str = "body_text", sketch: bool = False) -> DataFrame:
-    """(id, keys, runs): what is ever needed of each row; one narrow stage.
+    """(id, keys, signature, runs): what is ever needed of each row; one narrow stage.
 
     The text's key stands for its words if it has at least WORDS, else for its squeezed body. With
     sketch, each partition adds its counts of runs, as rows without id: block number and counts.
@@ -103,7 +106,7 @@ def rows_of(df: DataFrame, key: str = "id", url: str = "url", digest: str = "con
         import xxhash
 
         counts = np.zeros(COUNTERS, np.int64)
-        names = ["id", *_KEYS, "runs"]
+        names = ["id", *_KEYS, *_SIGNS, "n", "runs"]
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -114,18 +117,22 @@ def rows_of(df: DataFrame, key: str = "id", url: str = "url", digest: str = "con
                     plain = ("w" + " ".join(ws)) if len(ws) >= WORDS else "b" + " ".join(t.split()) if t else "b"
                     same.append(xxhash.xxh3_128_digest(plain) if plain != "b" else b"\0" * 16)
                 runs = _runs(words)
-                if sketch and len(all_ := np.concatenate(runs)):
+                all_ = np.concatenate(runs)
+                signs = np.zeros((len(runs), SIGNATURE_BITS), np.uint8)
+                signs[np.repeat(np.arange(len(runs)), [len(r) for r in runs]), (all_ >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
+                signs = np.packbits(signs, axis=1).view(np.int64)
+                if sketch and len(all_):
                     counts += np.bincount((all_ & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 wide = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
                 none = ~wide.any(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:5], *[pa.array(wide[:, j], mask=none) for j in range(2)], pa.array([r.tobytes() for r in runs], pa.binary())], names
+                    [*part.columns[:5], *[pa.array(wide[:, j], mask=none) for j in range(2)], *[pa.array(signs[:, j]) for j in range(len(_SIGNS))], pa.array([len(r) for r in runs], pa.int64()), pa.array([r.tobytes() for r in runs], pa.binary())], names
                 )
         if counts.any():
             blocks = [np.minimum(counts[i : i + BLOCK], 2**31 - 1).astype(np.int32).tobytes() for i in range(0, COUNTERS, BLOCK)]
             n = len(blocks)
-            nothing = [pa.nulls(n, pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([nothing[0], pa.array(range(n), pa.int64()), *nothing, pa.array(blocks, pa.binary())], names)
+            nothing = [pa.nulls(n, pa.int64())] * (len(names) - 3)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(range(n), pa.int64()), *nothing, pa.array(blocks, pa.binary())], names)
 
     return some.select("id", *_wide(F.col("u"), "url"), *_wide(F.col("h"), "hash"), "text").mapInArrow(make, _ROW)
 
@@ -158,7 +165,7 @@ def representatives(rows: DataFrame) -> DataFrame:
     keys = rows.where("text_a is not null").select("id", "text_a", "text_b")
     reps = keys.groupBy("text_a", "text_b").agg(F.min("id").alias("rep"))
     rest = keys.join(reps, ["text_a", "text_b"]).where("rep <> id").select(F.col("id").alias("cls"))
-    return rows.where("length(runs) > 0").select(F.col("id").alias("cls"), "runs").join(broadcast_if_small(written(rest, "repeats")), "cls", "left_anti")
+    return rows.where("n > 0").select(F.col("id").alias("cls"), "runs").join(broadcast_if_small(written(rest, "repeats")), "cls", "left_anti")
 
 
 _POSTING = "run bigint, cls bigint, size int, pos int"
@@ -205,12 +212,24 @@ def candidates(probe: DataFrame, index: DataFrame, similarity: float = SIMILARIT
     return q.join(broadcast_if_small(p), "run").where((F.col("cls") != F.col("other")) & near & room).select("cls", "other").distinct()
 
 
+def _sides(pairs: DataFrame, left: DataFrame, right: DataFrame, columns: list[Column]) -> DataFrame:
+    """pairs (cls, other) with columns of both sides, a_ and b_; pairs of a checked size are broadcast to the tables."""
+    named = lambda df, p, to: df.select(F.col("id").alias(to), *[c.alias(f"{p}_{n}") for n, c in columns])
+    one = written(named(left, "a", "cls").join(broadcast_if_small(pairs), "cls"), "pairs")
+    return named(right, "b", "other").join(broadcast_if_small(one), "other")
+
+
+def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose signatures leave room for the similarity: a bit of one side alone is a run the other lacks."""
+    both = _sides(pairs, left, right, [("n", F.col("n")), *[(c, F.col(c)) for c in _SIGNS]])
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{c}")))) for c in _SIGNS), F.lit(0))
+    return both.where((F.col("a_n") - only("a", "b") >= need) & (F.col("b_n") - only("b", "a") >= need)).select("cls", "other")
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls, other) of the pairs whose whole sets of runs are similar enough; left and right have (id, runs)."""
-    one, two = pairs.select(F.col("cls").alias("id")).distinct(), pairs.select(F.col("other").alias("id")).distinct()
-    a = left.join(broadcast_if_small(one), "id", "left_semi").select(F.col("id").alias("cls"), F.col("runs").alias("runs_a"))
-    b = right.join(broadcast_if_small(two), "id", "left_semi").select(F.col("id").alias("other"), F.col("runs").alias("runs_b"))
-    both = pairs.join(a, "cls").join(b, "other").select("cls", "other", "runs_a", "runs_b")
+    """(cls, other) of the pairs whose whole sets of runs are similar enough; left and right are rows."""
+    both = _sides(pairs, left, right, [("runs", F.col("runs"))]).select("cls", "other", "a_runs", "b_runs")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,7 +252,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int) -> None:
         self.spark, self.folder, self.name = spark, folder, f"presswork_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.name} ({_POSTING}) USING parquet CLUSTERED BY (run) SORTED BY (run) INTO {buckets} BUCKETS LOCATION '{os.path.join(folder, 'postings')}'")
+        spark.sql(f"CREATE TABLE {self.name} ({_POSTING}) USING parquet OPTIONS ('parquet.enable.dictionary#run' 'false') CLUSTERED BY (run) INTO {buckets} BUCKETS LOCATION '{os.path.join(folder, 'postings')}'")
         self.buckets = buckets
 
     @classmethod
@@ -261,7 +280,7 @@ class Index:
 
     def _post(self, classes: DataFrame) -> None:
         # One file a bucket: the rows are dealt as the buckets are.
-        postings(classes, self.order).repartition(self.buckets, "run").sortWithinPartitions("run").write.insertInto(self.name)
+        postings(classes, self.order).repartition(self.buckets, "run").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
     @property
@@ -274,7 +293,7 @@ class Index:
 
     def append(self, accepted: DataFrame) -> None:
         """Add rows that :meth:`check` has accepted: only their own postings are made."""
-        accepted = accepted.select("id", *_KEYS, "runs")
+        accepted = accepted.select("id", *_KEYS, *_SIGNS, "n", "runs")
         classes = representatives(accepted)
         self._post(classes)
         accepted.write.mode("append").parquet(os.path.join(self.folder, "rows"))
@@ -289,13 +308,13 @@ class Index:
         """(duplicates, accepted): (kept_id, dup_id) as a written table, and the rows of the batch that are none."""
         mine = written(rows_of(batch), "batch")
         if mine.select("id").distinct().count() < mine.count():  # repeated ids: one row each
-            mine = written(mine.groupBy("id").agg(F.min(F.struct(*_KEYS, "runs")).alias("r")).select("id", "r.*"), "batch")
+            mine = written(mine.groupBy("id").agg(F.min(F.struct(*_KEYS, *_SIGNS, "n", "runs")).alias("r")).select("id", "r.*"), "batch")
         classes = written(representatives(mine), "batch-classes")
         probe = written(postings(classes, self.order), "probe")
         old = written(candidates(probe, self.postings), "candidates")
         new = written(candidates(probe, probe).where("cls < other"), "candidates")
-        near_old = written(verified(old, mine.select("id", "runs"), self.rows.select("id", "runs")), "near")
-        near_new = written(verified(new, mine.select("id", "runs"), mine.select("id", "runs")), "near")
+        near_old = written(verified(written(bounded(old, mine, self.rows), "pairs"), mine, self.rows), "near")
+        near_new = written(verified(written(bounded(new, mine, mine), "pairs"), mine, mine), "near")
 
         # Each kind of key, and each class of texts, is a group of rows that all match.
         def groups(rows: DataFrame) -> DataFrame:
