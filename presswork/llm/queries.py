@@ -62,8 +62,7 @@ def p6_validation(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The member of every group whose value survives, field by field, under the rule of trust."""
-    rows = fusion.members(table(spark, d, "articles"), table(spark, d, "article_duplicates"), table(spark, d, "source_profiles"))
-    return fusion.survivors(fusion.claims(rows)).select("duplicate_group_id", "field", "article_id")
+    return fusion.trusted_values(table(spark, d, "articles"), table(spark, d, "article_duplicates"), table(spark, d, "source_profiles"))
 
 
 def p7_fused(spark: SparkSession, d: str) -> DataFrame:

@@ -75,9 +75,9 @@ def test_survivors_follow_trust_then_time_then_id(spark):
     ], "id bigint, source_id bigint, duplicate_group_id string, title string, subtitle string, author string, category string, updated_at string, field string")
     dups = spark.createDataFrame([("g", 3), ("g", 3), ("g", 777), (None, 1), ("h", 5)], "duplicate_group_id string, article_id bigint")
     prof = spark.createDataFrame([(10, 2), (20, 1), (30, None)], "source_id bigint, trust_rank int")
-    got = {(r["duplicate_group_id"], r["field"]): r["article_id"] for r in fusion.survivors(fusion.claims(fusion.members(arts, dups, prof))).collect()}
+    got = {(r["duplicate_group_id"], r["field"]): r["article_id"] for r in fusion.trusted_values(arts, dups, prof).collect()}
     assert got == {("g", "title"): 3, ("g", "subtitle"): 3, ("g", "author"): 1, ("g", "category"): 3, ("h", "title"): 5, ("h", "subtitle"): 5, ("h", "author"): 5, ("h", "category"): 5}
-    assert fusion.survivors(fusion.claims(fusion.members(arts.limit(0), dups, prof))).count() == 0
+    assert fusion.trusted_values(arts.limit(0), dups, prof).count() == 0 and fusion.fused_records(arts.limit(0), dups, prof).count() == 0
 
 
 def test_copied_votes_are_discounted(spark):
@@ -96,9 +96,9 @@ def test_copied_votes_are_discounted(spark):
     claimed = spark.createDataFrame(rows, "duplicate_group_id string, field string, value string, article_id bigint, source_id bigint, trust_at int, age bigint")
     post, acc, dep = fusion.fuse(claimed)
     a = {r["source_id"]: r["accuracy"] for r in acc.collect()}
-    p = {(r["pair"]["a"], r["pair"]["b"]): r["p"] for r in dep.collect()}
+    p = {(r["a"], r["b"]): r["p"] for r in dep.collect()}
     assert min(a[1], a[2]) > max(a[3], a[4]) and p[(3, 4)] > max(p[k] for k in p if k != (3, 4))
-    best = {r["duplicate_group_id"]: r["value"] for r in fusion.survivors(claimed, ("posterior", "smallest"), post).collect()}
+    best = {r["duplicate_group_id"]: r["value"] for r in fusion.survivors(claimed, post, ("posterior", "smallest")).collect()}
     assert all(best[f"g{g}"] == f"true {g}" for g in range(1, 40, 2))
 
 
