@@ -34,6 +34,11 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return knn.frame_neighbours(table(spark, d, "frame_embeddings"))
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index against brute force, by the frames of every hundredth article."""
+    return knn.recall(table(spark, d, "frame_embeddings"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over 700 signs, each of which the cutting operator turned into pieces."""
     chunks = table(spark, d, "article_chunks")
@@ -102,7 +107,7 @@ def p10_parts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_clean": p2_clean, "p2_templates": p2_templates, "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p6_found": p6_found, "p6_validation": p6_validation, "p7_found": p7_found, "p7_fused": p7_fused,
+    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall, "p5_found": p5_found, "p6_found": p6_found, "p6_validation": p6_validation, "p7_found": p7_found, "p7_fused": p7_fused,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_parts": p10_parts,
     "p8_ids": p8_ids, "p8_totals": p8_totals,
 }

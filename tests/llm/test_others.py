@@ -25,15 +25,14 @@ def test_ties_go_to_the_smaller_id(spark):
     assert {o for f, o in got if f == "x02"} == {"x00", "x01", "x03", "x04", "x05"}
 
 
-def test_index_recall(spark, monkeypatch):
-    monkeypatch.setattr(knn, "SMALL", 500)
-    monkeypatch.setattr(knn, "SHARD_ROWS", 600)
+@pytest.mark.parametrize("task_lists", [4096, 30])
+def test_index_recall(spark, task_lists):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(150, 32))
     x = (centres[rng.integers(0, 150, 3000)] + 0.25 * rng.normal(size=(3000, 32))).round(4)
     rows = [(f"v{i:05}", None, [float(z) for z in v], "m", "") for i, v in enumerate(x)]
     df = vectors(spark, rows).repartition(4)
-    got = {(r["vid"], r["other"]) for r in knn.neighbours(knn.entries(df)[1]).collect()}
+    got = {(r["vid"], r["other"]) for r in knn.neighbours(knn.entries(df)[1], task_lists=task_lists, shard_rows=600).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want = set()
     for i in range(0, 3000, 10):
@@ -44,10 +43,8 @@ def test_index_recall(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("noise", [0.0, 1e-8])
-def test_index_ties_of_scaled_copies(spark, monkeypatch, noise):
+def test_index_ties_of_scaled_copies(spark, noise):
     # A third of the rows has one direction, but no two of these vectors are equal.
-    monkeypatch.setattr(knn, "SMALL", 500)
-    monkeypatch.setattr(knn, "SHARD_ROWS", 600)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(100, 32))
     x = centres[rng.integers(0, 100, 1800)] + 0.25 * rng.normal(size=(1800, 32))
@@ -55,7 +52,7 @@ def test_index_ties_of_scaled_copies(spark, monkeypatch, noise):
     x[hot] = rng.uniform(0.1, 9, (600, 1)) * (centres[0] + noise * rng.normal(size=(600, 32)))
     rows = [(f"v{i:05}", None, [float(z) for z in v], "m", "") for i, v in enumerate(x)]
     got = {}
-    for r in knn.frame_neighbours(vectors(spark, rows).repartition(4)).collect():
+    for r in knn.frame_neighbours(vectors(spark, rows).repartition(4), shard_rows=600).collect():
         got.setdefault(r["frame"], set()).add(r["other"])
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = np.flatnonzero(np.round(u @ u[hot[0]], 9) >= 0.85)
