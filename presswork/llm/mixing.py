@@ -17,8 +17,6 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -157,16 +155,5 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
 
 
 def _by_node(level: DataFrame, schema, seed: int, last: bool) -> DataFrame:
-    """Round within the nodes: one partition holds whole nodes, rows in document order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        for pdf in batches:
-            rest.append(pdf)
-        if not rest:
-            return
-        pdf = pd.concat(rest)
-        for _, rows in pdf.groupby("node", sort=True):
-            yield _round_rows(rows.drop(columns="node"), seed, last)
-
-    return level.repartition("node").mapInPandas(run, schema)
+    """Round within the nodes: a task holds one node at a time, about LEAF_ROWS rows of numbers at most."""
+    return level.groupBy("node").applyInPandas(lambda pdf: _round_rows(pdf.drop(columns="node"), seed, last), schema)

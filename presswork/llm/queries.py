@@ -80,6 +80,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, decoded from its ids: the round trip of p8_ids."""
+    return tokens.decode_documents(tokens.encode_documents(table(spark, d, "documents")))
+
+
 def p8_totals(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and documents of every source."""
     return tokens.token_totals(table(spark, d, "documents"))
@@ -109,5 +114,5 @@ QUERIES = {
     "p2_found": p2_found, "p2_clean": p2_clean, "p2_templates": p2_templates, "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall, "p5_found": p5_found, "p6_found": p6_found, "p6_validation": p6_validation, "p7_found": p7_found, "p7_fused": p7_fused,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_parts": p10_parts,
-    "p8_ids": p8_ids, "p8_totals": p8_totals,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p8_totals": p8_totals,
 }

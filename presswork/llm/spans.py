@@ -29,8 +29,10 @@ from ..runtime import written
 
 #: Least span, and stretch that is hashed for an anchor.
 LEAST, GRAM = 300, 150
-#: Distinct stretches of one anchor that a block holds; more are met block by block.
+#: Stretches of one anchor that a block holds; more are met block by block.
 BLOCK = 64
+#: Stretches of one anchor from which their windows are counted instead, where only the cover is wanted.
+HOT = 256
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 1 << 64)
@@ -61,10 +63,31 @@ def anchors(texts: list[str], least: int = LEAST, gram: int = GRAM) -> tuple[np.
     # A place is an anchor if its hash is the least of some window over it, that is, the largest of their least ones.
     edge = np.zeros(w - 1, np.uint64)
     chosen = np.flatnonzero((_sliding(np.maximum, np.concatenate([edge, lone, edge]), w) == h) & (h > 0))
+    chosen = _thinned(chosen, h[chosen], owner[chosen], w)
     own = owner[chosen]
     return own, chosen - (ends - sizes)[own], h[chosen].view(np.int64)
 
 
+def _thinned(places: np.ndarray, h: np.ndarray, own: np.ndarray, w: int) -> np.ndarray:
+    """Of tied anchors of one text as few as leave one in every window: the last that is at most w after the one kept.
+
+    Which of the equal stretches is kept does not matter, as what is cut out around either holds the whole window.
+    """
+    same = (h[1:] == h[:-1]) & (own[1:] == own[:-1]) & (places[1:] - places[:-1] <= w)
+    if not same.any():
+        return places
+    keep = np.ones(len(places), dtype=bool)
+    border = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    for lo, hi in border.reshape(-1, 2):
+        run = places[lo : hi + 1]
+        keep[lo + 1 : hi] = False
+        at = 0
+        while at < len(run) - 1:
+            at = max(at + 1, int(np.searchsorted(run, run[at] + w, "right")) - 1)
+            keep[lo + at] = True
+    return places[keep]
+
+
 def _sliding(op: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     """op over every w neighbours of x, in linear time: by running results of blocks of w from both ends."""
     n = len(x) - w + 1
@@ -222,6 +245,10 @@ def shared_spans(entries: DataFrame, cover: bool, least: int = LEAST, gram: int
     begin = F.greatest(F.col("k.place") - (least - gram), F.lit(0))
     seg = F.substring("text", begin + 1, F.col("k.place") + F.lit(least) - begin)
     cut = cut.select("k.h", "k.m", "rep", begin.alias("begin"), seg.alias("seg"))
+    many = None
+    if cover:
+        cut = written(cut, "stretches")
+        many, cut = _hot_cover(cut.where(F.col("m") > HOT), least), cut.where(F.col("m") <= HOT)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     # Equal stretches go into one block, so that they are compared once.
     cut = cut.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("seg"), blocks).cast("int")})
@@ -229,7 +256,41 @@ def shared_spans(entries: DataFrame, cover: bool, least: int = LEAST, gram: int
     as_left = cut.select("h", F.col("mine").alias("x"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("y"), F.lit(0).alias("side"), "rep", "begin", "seg")
     as_right = cut.where("mine > 0").select("h", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("x"), F.col("mine").alias("y"), F.lit(1).alias("side"), "rep", "begin", "seg")
     sent = as_left.unionByName(as_right).repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return sent.mapInArrow(lambda it: _shard_spans(it, least, cover), "a bigint, b bigint, lo int, hi int")
+    out = sent.mapInArrow(lambda it: _shard_spans(it, least, cover), "a bigint, b bigint, lo int, hi int")
+    return out if many is None else out.unionByName(many)
+
+
+def _hot_cover(cut: DataFrame, least: int) -> DataFrame:
+    """The cover by hot anchors: stretches are not met in pairs, their windows of ``least`` signs are counted.
+
+    A stretch has at most least - gram + 1 windows, so that the work grows with the stretches. Windows
+    are told apart by two hashes of 64 bits.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                reps, begins, segs = (c.to_pylist() for c in b.slice(i, 256).columns)
+                cols: list[list[np.ndarray]] = [[], [], [], []]
+                for r, at, s in zip(reps, begins, segs, strict=True):
+                    n = len(s) - least + 1
+                    if n < 1:
+                        continue
+                    signs = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+                    for to, base in ((cols[0], _B), (cols[1], 0xC2B2AE3D27D4EB4F)):
+                        h = np.zeros(n, np.uint64)
+                        for k in range(least):
+                            h = h * np.uint64(base) + signs[k : k + n]
+                        to.append(h.view(np.int64))
+                    cols[2].append(np.full(n, r, np.int64))
+                    cols[3].append((np.arange(n) + at).astype(np.int32))
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h1", "h2", "rep", "lo"])
+
+    rows = written(cut.select("rep", "begin", "seg").mapInArrow(windows, "h1 bigint, h2 bigint, rep bigint, lo int").distinct(), "windows")
+    several = rows.groupBy("h1", "h2").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("h1", "h2")
+    found = rows.join(several, ["h1", "h2"], "left_semi")
+    return found.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "lo", (F.col("lo") + least).alias("hi"))
 
 
 def sharing_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

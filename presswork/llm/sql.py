@@ -24,4 +24,19 @@ SQL: dict[str, str] = {
     "p10_found": """WITH g AS (SELECT DISTINCT doc_id, hash(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
         k AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), s AS (SELECT g.* FROM g SEMI JOIN k USING (h))
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p2_clean": f"""WITH l AS (SELECT id, source_id, unnest(string_split(body_text, chr(10))) AS x, generate_subscripts(string_split(body_text, chr(10)), 1) AS i FROM articles),
+        k AS (SELECT id, source_id, i, x, {_KEY} AS key FROM l), n AS (SELECT source_id, count(*) AS n FROM articles GROUP BY source_id),
+        r AS (SELECT source_id, key, 1 AS gone FROM k JOIN n USING (source_id) WHERE key <> '' GROUP BY source_id, key, n.n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.04 * n.n),
+        c AS (SELECT id, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE gone IS NULL) AS t, count(gone) AS g FROM k LEFT JOIN r USING (source_id, key) GROUP BY id)
+        SELECT a.id AS article_id, CASE WHEN a.body_text IS NULL THEN NULL WHEN coalesce(c.g, 0) = 0 THEN a.body_text ELSE coalesce(c.t, '') END AS clean_text, coalesce(c.g, 0)::INT AS n_removed FROM articles a LEFT JOIN c ON a.id = c.id""",
+    "p3_neighbours": """WITH v AS (SELECT model_name, len(vector) AS d, frame_id, min(vector) AS v FROM frame_embeddings WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ALL),
+        p AS (SELECT a.frame_id AS f, b.frame_id AS o, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.model_name IS NOT DISTINCT FROM b.model_name AND a.d = b.d AND a.frame_id <> b.frame_id)
+        SELECT f AS frame, o AS other, s AS cosine, (row_number() OVER (PARTITION BY f ORDER BY s DESC, o))::INT AS rank FROM p WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY f ORDER BY s DESC, o) <= 5""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p10_parts": """WITH g AS (SELECT doc_id, p, hash(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
+        k AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, p, p + 299 AS e, lag(p + 299) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g SEMI JOIN k USING (h)),
+        c AS (SELECT doc_id, sum(e - greatest(p, coalesce(before + 1, p)) + 1) AS chars, count(*) FILTER (WHERE before IS NULL OR before + 1 < p) AS spans FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(length(d.text), 0)::INT AS n_chars, coalesce(c.chars, 0)::BIGINT AS shared_chars, CASE WHEN coalesce(length(d.text), 0) > 0 THEN round(coalesce(c.chars, 0)::DOUBLE / length(d.text), 6) ELSE 0.0 END AS shared_part,
+        coalesce(c.spans, 0)::INT AS spans FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""",
 }

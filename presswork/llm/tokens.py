@@ -14,12 +14,14 @@ columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +64,20 @@ WHERE round = last GROUP BY w ORDER BY w
 """
 
 
+def _ship(df: DataFrame, folder: str, name: str) -> None:
+    """Send the vocabulary's file to the executors, which need not have the folder."""
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+
+
+def _found(folder: str, name: str) -> str:
+    path = SparkFiles.get(name)
+    return path if os.path.isfile(path) else f"{folder}/{name}"
+
+
 @lru_cache(maxsize=2)
 def _merge_table(folder: str, name: str) -> tuple[pa.Table, np.ndarray]:
     """(l, r, rank, merged) of the vocabulary, and the id of every byte."""
-    with open(f"{folder}/{name}", encoding="utf-8") as f:
+    with open(_found(folder, name), encoding="utf-8") as f:
         model = json.load(f)["model"]
     vocab = model["vocab"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -85,7 +97,7 @@ class Encoder:
 
     #: Words merged by one run of the recursive query, to bound its memory.
     BLOCK = 8_000
-    #: Bytes of a word above which it is merged alone.
+    #: Signs of a word above which it is merged alone.
     LONG = 4_000
 
     def __init__(self, folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> None:
@@ -219,6 +231,7 @@ def encoder(folder: str, name: str) -> Encoder:
 def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids array<int>) of every row of df. One narrow stage, no shuffle."""
     schema = df.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
+    _ship(df, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(folder, name)
@@ -235,6 +248,7 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", fol
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
     """(key, n_tokens bigint): as encode_documents, without handing the ids on."""
     schema = df.select(key).schema.add("n_tokens", T.LongType())
+    _ship(df, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(folder, name)
@@ -247,7 +261,51 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
     return df.select(key, text).mapInArrow(run, schema)
 
 
+_DECODE = """
+SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.doc
+"""
+
+
+@lru_cache(maxsize=2)
+def _decoder(folder: str, name: str):
+    """A DuckDB database with the bytes of every id, in hexadecimal."""
+    import duckdb
+
+    merges, byte_ids = _merge_table(folder, name)
+    of = {int(i): bytes([b]) for b, i in enumerate(byte_ids)}
+    for a, b, m in zip(*[merges.column(c).to_pylist() for c in ("l", "r", "merged")], strict=True):
+        of[m] = of[a] + of[b]  # merges come in order of rank: their parts are known
+    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    db.register("given", pa.table({"id": pa.array(of.keys(), pa.int32()), "hex": [x.hex() for x in of.values()]}))
+    db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+    return db
+
+
+def decode_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
+    """(key, text) from (key, ids): an ordered aggregation of the ids' bytes. Null and empty lists give an empty text."""
+    schema = df.select(key).schema.add("text", T.StringType())
+    _ship(df, folder, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        db = _decoder(folder, name)
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
+                sizes = np.array([len(x) for x in lists])
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                db.register("tokens", pa.table({"doc": doc, "pos": pos, "id": lists.flatten()}))
+                texts = [""] * len(sizes)
+                for d, h in db.sql(_DECODE).fetchall():
+                    texts[d] = bytes.fromhex(h).decode("utf-8", "replace")
+                db.unregister("tokens")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, schema)
+
+
 def token_totals(df: DataFrame, source: str = "source", **where: str) -> DataFrame:
     """(source, n_docs, n_tokens) over all documents; the partial sums are made before the shuffle."""
-    counted = count_tokens(df.select("doc_id", "text"), **where).join(df.select("doc_id", source), "doc_id")
+    counted = count_tokens(df.select(source, "text"), source, "text", **where)
     return counted.groupBy(source).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

@@ -58,3 +58,20 @@ def test_automaton_matches_plain_search():
             got |= set(range(lo, hi))
         want = {q for p in range(len(b) - 4) if b[p : p + 5] in a for q in range(p, p + 5)}
         assert got == want
+
+
+def test_equal_signs_leave_few_anchors():
+    for text in ("-" * 10_000, "ab" * 5_000, "═" * 700 + "x" + "═" * 900):
+        own, place, h = spans.anchors([text, text[:400]])
+        mine = np.sort(place[own == 0])
+        assert len(mine) <= 2 + len(text) // 60
+        assert all(((mine >= p) & (mine + spans.GRAM <= p + spans.LEAST)).any() for p in range(len(text) - spans.LEAST + 1))
+
+
+def test_cover_of_an_anchor_in_very_many_texts(spark):
+    rnd = random.Random(3)
+    core = "".join(rnd.choice("abcdefgh") for _ in range(400))
+    docs = [(i, f"{i:05}" * 20 + core[: 350 + i % 50] + f"{i:05}" * 20) for i in range(3000)]
+    got = {r["doc_id"]: (r["shared_chars"], r["spans"]) for r in spans.shared_parts(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    # Where the quote ends, the number's first signs may go on alike; the quote itself is always covered.
+    assert all(350 + i % 50 <= got[i][0] <= 350 + i % 50 + 8 and got[i][1] == 1 for i, _ in docs)
