@@ -14,14 +14,20 @@ TOKEN = r"[0-9A-Za-zА-Яа-яЁё]{2,}"
 
 # Word lists of the retrieval rules.
 STOPWORDS = (
-    "что как где когда это эта этот эти про для при или его ее её она они оно есть был была были так еще ещё уже над под без "
-    "после перед между если чем ли же по на в во из к ко с со о об от до за не а и но"
-).split()
-BROAD_TERMS = "россия россии россию россий страна страны сша европа европы москва москвы украина украины украину".split()
-ACTION_TERMS = "block blocking ban banned restrict restriction restrictions arrest".split()
+    "что", "как", "где", "когда", "это", "эта", "этот", "эти", "про", "для", "при", "или", "его", "ее", "её", "она", "они", "оно", "есть", "был",
+    "была", "были", "так", "еще", "ещё", "уже", "над", "под", "без", "после", "перед", "между", "если", "чем", "ли", "же", "по", "на", "в", "во",
+    "из", "к", "ко", "с", "со", "о", "об", "от", "до", "за", "не", "а", "и", "но",
+)
+BROAD_TERMS = (
+    "россия", "россии", "россию", "россий", "страна", "страны", "сша", "европа", "европы", "москва", "москвы", "украина", "украины", "украину",
+)
+ACTION_TERMS = (
+    "block", "blocking", "ban", "banned", "restrict", "restriction", "restrictions", "arrest",
+)
 ENDINGS = (
-    "иями ями ами его ого ему ому иях ах ях ия ья ие ые ой ий ый ая яя ое ее ам ям ом ем ов ев ей ию ью ых их ую юю а я ы и е у ю о"
-).split()
+    "иями", "ями", "ами", "его", "ого", "ему", "ому", "иях", "ах", "ях", "ия", "ья", "ие", "ые", "ой", "ий", "ый", "ая", "яя", "ое", "ее", "ам", "ям",
+    "ом", "ем", "ов", "ев", "ей", "ию", "ью", "ых", "их", "ую", "юю", "а", "я", "ы", "и", "е", "у", "ю", "о",
+)
 NOISE = r"ваш браузер не поддерживает|данный формат видео|смотрите видео|подпишит|ria\.ru/[0-9]+"
 
 
@@ -87,12 +93,12 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def stem(token: Column, endings: list[str] | None = None) -> Column:
+def stem(token: Column, endings: tuple[str, ...] | None = None) -> Column:
     """The token without its first listed ending that leaves four letters."""
     return F.regexp_replace(token, "^(.{4,}?)(?:" + "|".join(endings or ENDINGS) + ")$", "$1")
 
 
-def stem_text(token: str, endings: list[str] | None = None) -> str:
+def stem_text(token: str, endings: tuple[str, ...] | None = None) -> str:
     return re.sub("^(.{4,}?)(?:" + "|".join(endings or ENDINGS) + ")$", r"\1", token)
 
 
@@ -104,7 +110,7 @@ class Query:
     terms: tuple[tuple[str, str], ...] = field(default=())
 
     @classmethod
-    def of(cls, text: str, stopwords: list[str] | None = None) -> Query:
+    def of(cls, text: str, stopwords: tuple[str, ...] | None = None) -> Query:
         stop, seen, out = set(stopwords or STOPWORDS), set(), []
         for raw in re.findall(TOKEN, text.lower()):
             if raw in stop or len(s := stem_text(raw)) < 2 or s in stop or s in seen:

@@ -6,6 +6,7 @@ actors, implications, confidence. First-seen ties follow frame_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,10 @@ OPERATIONAL_WORDS = (
 )
 EVENT_LABEL_WORDS = ("заявил", "заявила", "считает", "сообщил", "сообщила", "воздушная тревога", "временные ограничения", "беспилотной опасности", "выиграл", "выиграла", "временно")
 PLACEHOLDERS = ("", "...", "—", "n/a", "none", "unknown", "общая тема")
-TOPIC_STOPWORDS = "это как что или для при после между также который которая которые новости риа россия заявил сообщил сообщила сказал сказала 2026 2025".split()
+TOPIC_STOPWORDS = (
+    "это", "как", "что", "или", "для", "при", "после", "между", "также", "который", "которая", "которые", "новости", "риа", "россия", "заявил",
+    "сообщил", "сообщила", "сказал", "сказала", "2026", "2025",
+)
 UNCLEAR = "no_clear_narrative"
 LEAST_SIMILARITY, LEAST_MARGIN = 0.78, 0.08
 LEAST_ARTICLES, LEAST_SOURCES = 5, 1
@@ -172,21 +176,66 @@ def centroids(members: DataFrame, vectors: DataFrame) -> DataFrame:
     return first.join(vectors.select("frame_id", F.col("vector").alias("centroid")), "frame_id").select("cluster_id", "topic_id", "centroid")
 
 
-def classify(frames: DataFrame, vectors: DataFrame, centres: DataFrame, least: float = LEAST_SIMILARITY, margin: float = LEAST_MARGIN) -> DataFrame:
+def _centre_parts(centres: DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The centroids in parts of at most ``most`` rows, one part on the driver at a time by its iterator's pages."""
+    held: list = []
+    for r in centres.select("cluster_id", "topic_id", "centroid").toLocalIterator():
+        held.append((r["cluster_id"], r["topic_id"], np.asarray(r["centroid"], dtype=np.float64)))
+        if len(held) == most:
+            yield pd.DataFrame(held, columns=["cluster_id", "topic_id", "centroid"])
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=["cluster_id", "topic_id", "centroid"])
+
+
+def _two_best(vectors: DataFrame, part) -> DataFrame:
+    """(frame_id, sim, cluster_id) of the two best centroids of a broadcast part for every frame: a product of blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = part.value
+        sizes = c["centroid"].map(len).to_numpy()
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1024):
+                rows = pdf.iloc[lo : lo + 1024]
+                for n, some in rows.groupby(rows["vector"].map(len)):
+                    of = c[sizes == n]
+                    if not len(of) or not n:
+                        continue
+                    x, y = np.stack(some["vector"].to_numpy()).astype(np.float64), np.stack(of["centroid"].to_numpy())
+                    norm = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
+                    sim = np.divide(x @ y.T, norm, out=np.zeros(norm.shape), where=norm > 0).round(6)
+                    mine, theirs = some["topic_id"].to_numpy(object), of["topic_id"].to_numpy(object)
+                    free = pd.isna(theirs)[None] | pd.isna(mine)[:, None]
+                    ids = of["cluster_id"].to_numpy(object)
+                    sim = np.where(free | (np.where(pd.isna(mine), "", mine)[:, None] == np.where(pd.isna(theirs), "", theirs)[None]), sim, -np.inf)
+                    by = np.argsort(ids, kind="stable")[::-1]  # ties go to the larger id
+                    top = by[np.argsort(-sim[:, by], axis=1, kind="stable")[:, :2]]
+                    for k in range(top.shape[1]):
+                        s = sim[np.arange(len(some)), top[:, k]]
+                        good = s > -np.inf
+                        yield pd.DataFrame({"frame_id": some["frame_id"].to_numpy()[good], "sim": s[good], "cluster_id": ids[top[good, k]]})
+
+    return vectors.mapInPandas(run, "frame_id string, sim double, cluster_id string")
+
+
+def classify(frames: DataFrame, vectors: DataFrame, centres: DataFrame, least: float = LEAST_SIMILARITY, margin: float = LEAST_MARGIN, part_rows: int = 20_000) -> DataFrame:
     """(frame_id, article_id, cluster_id, similarity, assigned, reason): best centroid by cosine and its lead.
 
-    A frame with a topic meets the centroids of its topic and those without one by equi-joins; only
-    frames without a topic meet all centroids. Best and second best are partial aggregates.
+    A frame meets the centroids of its topic and those without one, a frame without a topic all of them.
+    Centroids are broadcast in parts of at most ``part_rows``; each part gives a frame's two best, so
+    that nothing but these is shuffled.
     """
     f = frames.select("frame_id", "article_id", "topic_id").join(vectors.select("frame_id", "vector"), "frame_id", "left")
-    c = centres.select("cluster_id", F.col("topic_id").alias("ct"), "centroid")
-    same = f.join(c, f.topic_id == c.ct)
-    free = f.join(F.broadcast(c.where("ct is null").withColumn("one", F.lit(1))), F.when(f.topic_id.isNotNull(), 1) == F.col("one")).drop("one")
-    lone = f.where("topic_id is null").withColumn("one", F.lit(1)).join(c.withColumn("one", F.lit(1)), "one").drop("one")
-    met = same.unionByName(free).unionByName(lone).where("vector is not null").select("frame_id", "cluster_id", F.round(t.cosine(F.col("vector"), F.col("centroid")), 6).alias("sim"))
-    top = met.groupBy("frame_id").agg(F.max(F.struct("sim", "cluster_id")).alias("best"), F.count("*").alias("n"), F.max("sim").alias("m"), F.count_if(F.lit(True)).alias("k"))
-    second = met.join(top.select("frame_id", "best"), "frame_id").where(F.struct("sim", "cluster_id") != F.col("best")).groupBy("frame_id").agg(F.max("sim").alias("second"))
-    out = f.select("frame_id", "article_id", F.col("vector").isNull().alias("missing")).join(top, "frame_id", "left").join(second, "frame_id", "left")
+    asked = f.where("vector is not null").select("frame_id", "topic_id", "vector")
+    met = None
+    for part in _centre_parts(centres, part_rows):
+        found = _two_best(asked, frames.sparkSession.sparkContext.broadcast(part))
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        met = asked.select("frame_id", F.lit(0.0).alias("sim"), F.lit("").alias("cluster_id")).limit(0)
+    ranked = met.withColumn("k", F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc("sim"), F.desc("cluster_id")))).where("k <= 2")
+    top = ranked.groupBy("frame_id").agg(F.max(F.when(F.col("k") == 1, F.struct("sim", "cluster_id"))).alias("best"), F.max(F.when(F.col("k") == 2, F.col("sim"))).alias("second"))
+    out = f.select("frame_id", "article_id", F.col("vector").isNull().alias("missing")).join(top, "frame_id", "left")
     lead = F.round(F.col("best.sim") - F.coalesce("second", F.lit(-1.0)), 6)
     yes = F.coalesce((F.col("best.sim") >= least) & (lead >= margin), F.lit(False)) & ~F.col("missing")
     return out.select(
@@ -249,6 +298,51 @@ def topic_words(docs: DataFrame, chunks: int = 4, least: int = 160) -> DataFrame
     return told.withColumn("words", F.when(F.length(merged) < least, topic_tokens(F.col("body_text"))).otherwise(F.flatten("__parts"))).drop("__parts")
 
 
+def topic_text(title: Column, subtitle: Column, body: Column, chunks: Column, most: int = 4, least: int = 160) -> Column:
+    """A document's topic text: title, subtitle and first chunks (else the body), each by its topic words; the body's alone if that is short."""
+    told = lambda c: F.array_join(topic_tokens(c), " ")
+    parts = F.concat(F.array(told(title), told(subtitle)), F.when(F.size(chunks) > 0, F.transform(F.slice(chunks, 1, most), told)).otherwise(F.array(told(body))))
+    merged = F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
+    return F.when(F.length(merged) < least, told(body)).otherwise(merged)
+
+
+def clean_keywords(words: Column, most: int = 8) -> Column:
+    """Keywords by their first topic word, of three letters on, each once, at most so many."""
+    first = F.transform(words, lambda x: F.get(topic_tokens(x), F.lit(0)))
+    return F.slice(F.array_distinct(F.filter(first, lambda x: F.coalesce(F.length(x) >= 3, F.lit(False)))), 1, most)
+
+
+def topic_label(keywords: Column, topic: Column) -> Column:
+    """The first three keywords, or the topic's own name if there are none."""
+    return F.when(F.size(keywords) > 0, F.array_join(F.slice(keywords, 1, 3), " / ")).otherwise(F.concat(F.lit("topic "), topic.cast("string")))
+
+
+def article_topics(listed: DataFrame) -> DataFrame:
+    """(article_id, topic_id) of (topic_no, topic_id, article_id): the first topic that lists an article."""
+    return listed.groupBy("article_id").agg(F.min(F.struct("topic_no", "topic_id")).alias("t")).select("article_id", "t.topic_id")
+
+
+def dominant(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
+    """(key, value, n): the most frequent value per key, of equal ones that with the first place."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    best = n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "first", value)).alias("b"))
+    return best.select(key, F.col(f"b.{value}").alias(value), (-F.col("b.m")).alias("n"))
+
+
+_CODED = ("frame_id", "article_id", "status", "main_claim", *SLOTS, "valence", "actors", "implications")
+
+
+def to_json() -> Column:
+    """A frame as one JSON text."""
+    return F.to_json(F.struct(*_CODED))
+
+
+def of_json(c: Column) -> Column:
+    """The frame in a JSON text; lists and texts that are missing are null."""
+    kinds = {"article_id": "bigint", "actors": "array<string>", "implications": "array<string>"}
+    return F.from_json(c, ", ".join(f"{k} {kinds.get(k, 'string')}" for k in _CODED))
+
+
 def topic_keywords(docs: DataFrame, most: int = 8) -> DataFrame:
     """(topic_id, keywords): the most frequent words of four letters on over (topic_id, doc_id, text); ties go to the smaller word."""
     words = docs.select("topic_id", F.explode(topic_tokens(F.col("text"))).alias("word")).where(F.length("word") >= 4)

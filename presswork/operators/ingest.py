@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as t
-from ..runtime import written
+from ..runtime import forget, written
 
 LEAST_BODY = 120
 
@@ -67,7 +67,9 @@ def arrival_winners(df: DataFrame, order: str = "id") -> DataFrame:
         g = groups.join(state, "id").groupBy("k", "v").agg(F.min(F.when(F.col("s") == 1, F.col("id"))).alias("kept"), F.min(F.when(F.col("s") == 0, F.col("id"))).alias("open"))
         seen = groups.join(g, ["k", "v"]).groupBy("id").agg(F.min(F.when(F.col("kept") < F.col("id"), F.col("kept"))).alias("kept"), F.min(F.when(F.col("open") < F.col("id"), F.col("open"))).alias("open"))
         nxt = F.when(F.col("s") != 0, F.col("s")).when(F.col("kept").isNotNull(), 2).when(F.col("open").isNull(), 1).otherwise(0)
-        state = written(state.join(seen, "id", "left").select("id", nxt.alias("s")), "state")
+        fresh = written(state.join(seen, "id", "left").select("id", nxt.alias("s")), "state")
+        forget(state)
+        state = fresh
         if state.where("s = 0").isEmpty():
             break
     kept = groups.join(state.where("s = 1"), "id").groupBy("k", "v").agg(F.min("id").alias("kept"))
@@ -96,6 +98,14 @@ def counters(statuses: DataFrame, by: str = "source_id") -> DataFrame:
     )
 
 
+def accumulated(statuses: DataFrame, day: str) -> DataFrame:
+    """Counters of a bulk run's days, and their running totals."""
+    names = ("discovered", "saved", "skipped_existing", "skipped_duplicates", "skipped_invalid")
+    per = counters(statuses, day)  # one row a day
+    w = W.orderBy(day).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return per.select(day, *names, *[F.sum(n).over(w).alias(f"total_{n}") for n in names])
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key by the order columns: compaction of appended versions (upserts)."""
     w = W.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])

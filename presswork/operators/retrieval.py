@@ -7,12 +7,14 @@ another order rank alike; ties follow the stated keys down to the chunk id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as t
-from ..functions.providers import Reranker
+from ..functions.providers import Reranker, TextModel, generate_object
 
 # BM25 constants, fusion weights, candidate limits.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -151,8 +153,8 @@ def rerank(rows: DataFrame, query: t.Query, limit: int = 10, model: Reranker | N
         few = few.withColumn("model_score", model.score(F.lit(query.text), F.concat_ws("\n", "article_title", "chunk_text")))
         few = few.withColumn("final_score", F.round(F.col("final_score") + 0.42 * F.col("model_score"), 6))
     if ranking:
-        place = F.create_map(*[F.lit(x) for i, c in enumerate(dict.fromkeys(ranking), 1) for x in (c, ranking.index(c) + 1)])
-        told = F.try_element_at(place, F.col("chunk_id").cast("int"))
+        # The place of an id's first mention in the whole list, repeats counted.
+        told = F.nullif(F.array_position(F.lit(list(ranking)).cast("array<bigint>"), F.col("chunk_id").cast("bigint")), F.lit(0))
         few = few.withColumns({"rerank_score": F.coalesce(1 / told, F.lit(0.0)), "final_score": F.round(F.col("final_score") + F.coalesce(0.30 / told, F.lit(0.0)), 6)})
     return few
 
@@ -209,12 +211,60 @@ def source_articles(found: DataFrame, limit: int = SOURCE_ARTICLES) -> DataFrame
     return sums.orderBy(F.desc("article_score"), "article_id").limit(limit)
 
 
-def summary(found: DataFrame, chunks: int = 2) -> DataFrame:
-    """One row: the texts of the best chunks of some worth, or the fixed message (the path without a model)."""
-    worth = found.where("quality > -0.45").orderBy(*order_keys()).limit(chunks)
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("o"), "chunk_id", "chunk_text")))
-    text = F.array_join(F.transform(listed, lambda x: x["chunk_text"]), "\n\n")
-    return worth.agg(F.coalesce(F.nullif(text, F.lit("")), F.lit("Nothing was found.")).alias("summary"), F.count("*").alias("n_chunks"))
+def listwise(rows: DataFrame, query: t.Query, model: TextModel, limit: int = 10) -> DataFrame:
+    """Re-rank by a model's order of the best few chunks; without a usable answer nothing changes.
+
+    The prompt holds max(2 * limit, RERANK_LIMIT) texts at most, which come to the driver for it.
+    """
+    few = rows.orderBy(*order_keys()).limit(max(2 * limit, RERANK_LIMIT)).collect()
+    told = "\n".join(f"{r['chunk_id']}: [{r['article_title']}] {r['chunk_text']}" for r in few)
+    try:
+        answer = generate_object(model, f'Rank the chunks for the query "{query.text}". Answer with a JSON object {{"ranked_chunk_ids": [...]}}.\n{told}')
+    except Exception:  # whatever a provider raises, the search goes on without it
+        return rerank(rows, query, limit)
+    known = {r["chunk_id"] for r in few}
+    listed = answer.get("ranked_chunk_ids")
+    ids = [int(x) if str(x).isdigit() else -1 for x in listed] if isinstance(listed, list) else []
+    return rerank(rows, query, limit, ranking=ids if known & set(ids) else None)
+
+
+# Fixed value: the message for a query that found nothing.
+NOTHING = "По выбранному запросу релевантные фрагменты не найдены."
+
+
+def summary(found: DataFrame, chunks: int = 2, message: str = NOTHING) -> DataFrame:
+    """One row: the trimmed texts of the best chunks (the path without a model), or the fixed message.
+
+    Chunks of little worth are left out, unless all are such.
+    """
+    few = found.withColumn("useful", F.max((F.col("quality") > -0.45).cast("int")).over(W.partitionBy(F.lit(1))))  # over the few found
+    worth = few.where("useful = 0 or quality > -0.45").orderBy(*order_keys()).limit(chunks)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("o"), "chunk_id", F.trim(F.coalesce("chunk_text", F.lit(""))).alias("text"))))
+    text = F.array_join(F.filter(F.transform(listed, lambda x: x["text"]), lambda x: x != ""), "\n\n")
+    return worth.agg(F.coalesce(F.nullif(text, F.lit("")), F.lit(message)).alias("summary"), F.count("*").alias("n_chunks"))
+
+
+def model_summary(found: DataFrame, query: t.Query, model: TextModel, chunks: int = 5) -> str:
+    """A model's summary of the best chunks; an empty answer, one without Cyrillic letters or an error gives that of :func:`summary`."""
+    useful = found.where("quality > -0.45")
+    few = (found if useful.isEmpty() else useful).orderBy(*order_keys()).limit(chunks).collect()
+    if few:
+        told = "\n".join(f"{i}. [{r['article_title']}] {r['chunk_text']}" for i, r in enumerate(few, 1))
+        try:
+            text = model.generate(f"Сделай короткую сводку на русском языке по запросу «{query.text}» только по этим фрагментам:\n{told}", 0.1, 260).strip()
+        except Exception:  # whatever a provider raises
+            text = ""
+        if re.search("[А-Яа-яЁё]", text):
+            return text
+    return summary(found).first()["summary"]
+
+
+def vector_candidates(vectors: DataFrame, rows: DataFrame, model: str, date_from: str | None, date_to: str | None, domains: list[str] | None = None) -> DataFrame:
+    """Stored vectors (chunk_id, model_name, embedding) of a model, with chunk, article and source in scope; newest first."""
+    sane = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    held = vectors.where((F.col("model_name") == model) & sane)
+    met = in_scope(rows, date_from, date_to, domains).join(held, "chunk_id")
+    return met.orderBy(t.compact(F.col("published_at")).desc(), "article_id", "chunk_index", "chunk_id")
 
 
 def index_missing(rows: DataFrame, embedded: DataFrame, model: str, limit: int | None = None) -> DataFrame:

@@ -46,6 +46,44 @@ def set_flag(df: DataFrame, key: Column, flag: str, value: bool, stamp: Column |
     return out.withColumn("updated_at", F.when(key, stamp).otherwise(F.col("updated_at"))) if stamp is not None else out
 
 
+def matched(df: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
+    """(key, matched) of the asked keys: whether an update of that row would find one."""
+    held = df.select(key).distinct().withColumn("matched", F.lit(True))
+    return asked.select(key).distinct().join(held, key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """old with the rows of new in place of those of their keys; columns in kept stay as the old row has them.
+
+    Of several new rows of a key the last by order holds. One shuffle on the key.
+    """
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__new", F.lit(1)))
+    last = [F.col("__new").desc(), *([F.col(order).desc_nulls_last()] if order else [])]
+    rest = [c for c in old.columns if c not in keys]
+    # A stable choice among equal versions: by all other columns.
+    w = W.partitionBy(*keys)
+    first = {c: F.first(F.when(F.col("__new") == 0, F.col(c)), ignorenulls=True).over(w.orderBy("__new", *rest).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) for c in kept}
+    out = both.withColumns({f"__k_{c}": v for c, v in first.items()}).withColumn("__r", F.row_number().over(w.orderBy(*last, *rest))).where("__r = 1")
+    return out.select(*[F.coalesce(F.col(f"__k_{c}"), F.col(c)).alias(c) if c in kept else F.col(c) for c in old.columns])
+
+
+def get_or_create_sources(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(domain, id, created) of the wanted domains: known ones with their id, others with the next free ones in order of domain.
+
+    The sources table is small; only its missing domains are numbered, by a running number over them.
+    """
+    ask = wanted.select("domain").where("domain is not null").distinct()
+    held = known.groupBy("domain").agg(F.min("id").alias("id"))
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    new = ask.join(F.broadcast(held.select("domain")), "domain", "left_anti").withColumn("id", F.row_number().over(W.orderBy("domain")).cast("bigint")).withColumn("id", F.col("id") + top)
+    return ask.join(F.broadcast(held), "domain").withColumn("created", F.lit(False)).unionByName(new.withColumn("created", F.lit(True)))
+
+
+def without_chunks(articles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Articles that no chunk belongs to: what a backfill has to cut."""
+    return articles.join(chunks.select(F.col("article_id").alias("id")).distinct(), "id", "left_anti")
+
+
 def missing_sources(known: DataFrame, wanted: DataFrame) -> DataFrame:
     """Sources of wanted whose domain is not known yet: what a get-or-create appends."""
     return wanted.join(known.select("domain"), "domain", "left_anti")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import html as h
 from ..functions import text as t
 from ..operators import frames as f
 from .queries import FROM, LIMIT, QUERY, TO
@@ -188,7 +187,7 @@ PAGES = f"""pg AS (SELECT id AS page_id, '<html><head><script>var a = "<p>no</p>
 def strip(c: str) -> str:
     c = f"regexp_replace(regexp_replace({c}, '<script\\b.*?>.*?</script>|<style\\b.*?>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs')"
     c = f"regexp_replace(regexp_replace(regexp_replace({c}, '<br\\s*/?>', chr(10), 'gi'), '</(?:p|div|section|li|h[0-9]|blockquote)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
-    for name, sign in h.ENTITIES.items():
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):  # & last: nothing is read twice
         told = sign.replace("'", "''")
         c = f"replace({c}, '{name}', '{told}')"
     c = f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
@@ -222,7 +221,7 @@ SQL: dict[str, str] = {
         _meta("article_duplicates.article_id refers", "SELECT 1 FROM article_duplicates WHERE article_id NOT IN (SELECT id FROM articles)"), _meta("articles.word_count >= 0", "SELECT 1 FROM articles WHERE word_count < 0"),
         _meta("similarity_score in [0, 1]", "SELECT 1 FROM article_duplicates WHERE similarity_score < 0 OR similarity_score > 1"),
     ]),
-    "date_range": f"SELECT id, source_id, {compact('published_at')} AS published_minute, 'news659-dale-4.example' AS domains_key FROM articles WHERE is_canonical AND ({compact('published_at')}) BETWEEN '{t.bound('2024-03-01')}' AND '{t.bound('2025-09-30T12:00')}'",
+    "date_range": f"SELECT id, source_id, {compact('published_at')} AS published_minute, 'blatt687-tal-6.example,news659-dale-4.example,vest850-grad-1.example' AS domains_key FROM articles WHERE source_id IN (SELECT id FROM sources WHERE domain IN ('news659-dale-4.example', 'vest850-grad-1.example', 'blatt687-tal-6.example')) AND is_canonical AND ({compact('published_at')}) BETWEEN '{t.bound('2024-03-01')}' AND '{t.bound('2025-09-30T12:00')}'",
     "recent_by_source": "SELECT source_id, id, published_at FROM articles WHERE published_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, id DESC) <= 5",
     "active_sources": "SELECT id, name, domain FROM sources WHERE is_active",
     "load_documents": f"""WITH c AS (SELECT article_id, list(chunk_text ORDER BY chunk_index, chunk_text) AS ts FROM (SELECT DISTINCT article_id, chunk_index, chunk_text FROM article_chunks) GROUP BY article_id)
@@ -250,8 +249,8 @@ SQL: dict[str, str] = {
     "search_chunks": f"WITH {searched(_PLAIN)} SELECT chunk_id, article_id, final_score, kind FROM found",
     "search_reranked": f"WITH {searched(_MODEL)} SELECT chunk_id, article_id, final_score, model_score, kind FROM found",
     "search_articles": f"""WITH {searched(_PLAIN)} SELECT article_id, article_title, source_domain, round(sum(greatest(final_score, 0) + 0.10 / (chunk_index + 1)), 6) AS article_score FROM found GROUP BY ALL ORDER BY article_score DESC, article_id LIMIT 5""",
-    "answer": f"""WITH {searched(_PLAIN)}, w AS (SELECT * FROM found WHERE quality > -0.45 ORDER BY {_ORDER} LIMIT 2)
-        SELECT count(*) AS n_chunks, md5(coalesce(nullif(string_agg(chunk_text, chr(10) || chr(10) ORDER BY final_score DESC, chunk_id), ''), 'Nothing was found.')) AS summary_md5 FROM w""",
+    "answer": f"""WITH {searched(_PLAIN)}, u AS (SELECT *, max((quality > -0.45)::INT) OVER () AS useful FROM found), w AS (SELECT * FROM u WHERE useful = 0 OR quality > -0.45 ORDER BY {_ORDER} LIMIT 2)
+        SELECT count(*) AS n_chunks, md5(coalesce(nullif(string_agg(trim(chunk_text), chr(10) || chr(10) ORDER BY final_score DESC, chunk_id) FILTER (WHERE trim(chunk_text) <> ''), ''), 'По выбранному запросу релевантные фрагменты не найдены.')) AS summary_md5 FROM w""",
     "flagship": f"WITH {ROWS}, {BM25}, {lex(50)} SELECT chunk_id, article_id, article_title, bm25, lexical_rank FROM lx QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY lexical_rank) <= 2",
     "frame_informative": f"WITH {FRAMES} SELECT frame_id, article_id, {INFORMATIVE} AS informative, {STATEMENT} AS statement_like, {OPERATIONAL} AS operational FROM fr",
     "frame_representation": f"""WITH {FRAMES} SELECT frame_id, concat_ws(chr(10), 'main_claim: ' || main_claim, {', '.join(f"'{s}: ' || nullif({s}, '')" for s in f.SLOTS)}, 'implications: ' || nullif(array_to_string(implications, ', '), ''), 'actors: ' || nullif(array_to_string(actors, ', '), ''),

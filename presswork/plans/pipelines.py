@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,76 @@ def new_analyses(articles: DataFrame, cached: DataFrame, force: bool = False) ->
     return articles if force else articles.join(cached.select(F.col("article_id").alias("id")), "id", "left_anti")
 
 
+def embed_representations(frame_rows: DataFrame, embed: Callable[[str], list[float]], model: str) -> DataFrame:
+    """(frame_id, representation_text, vector, model_name, status) of frames: by their whole text, else by the compact one.
+
+    embed may raise: the frame is then tried with its compact text, and is ``skipped`` if that fails too.
+    It runs in the executors, batch by batch.
+    """
+    texts = frame_rows.select("frame_id", frames.representation().alias("whole"), frames.compact_representation().alias("compact"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for frame, whole, compact in pdf.itertuples(index=False):
+                found = (frame, None, None, model, "skipped")
+                for text, status in ((whole, "whole"), (compact, "compact")):
+                    try:
+                        vector = [float(x) for x in embed(text)]
+                    except Exception:  # whatever a provider raises
+                        continue
+                    if vector:
+                        found = (frame, text, vector, model, status)
+                        break
+                out.append(found)
+            yield pd.DataFrame(out, columns=["frame_id", "representation_text", "vector", "model_name", "status"])
+
+    return texts.mapInPandas(run, "frame_id string, representation_text string, vector array<double>, model_name string, status string")
+
+
+def materialised(articles: DataFrame, cached: DataFrame, found: DataFrame, force: bool = False) -> DataFrame:
+    """One row of what a cached run does: articles in all, processed and reused ones, frames of the processed."""
+    fresh = new_analyses(articles, cached, force).select("id")
+    n = articles.agg(F.count("*").alias("total_articles"))
+    p = fresh.agg(F.count("*").alias("processed_articles"))
+    f = found.join(fresh.withColumnRenamed("id", "article_id"), "article_id", "left_semi").agg(F.count("*").alias("n_frames"))
+    one = lambda df: F.broadcast(df.withColumn("one", F.lit(1)))
+    out = one(n).join(one(p), "one").join(one(f), "one")  # single rows
+    return out.select("total_articles", "processed_articles", (F.col("total_articles") - F.col("processed_articles")).alias("reused_articles"), "n_frames")
+
+
+def cached_frames(cache: DataFrame, topics: DataFrame, date_from: str | None, date_to: str | None, domains: list[str] | None = None) -> DataFrame:
+    """Frames of cached analyses (article_id, source_domain, published_at, payload_json) in range: their own topic, else their article's.
+
+    payload_json is an array of frames' JSON; topics are (article_id, topic_id).
+    """
+    at, low, high = t.compact(F.col("published_at")), t.bound(date_from), t.bound(date_to)
+    rows = cache.where((at >= low if low else F.lit(True)) & (at <= high if high else F.lit(True)))
+    rows = rows.where(F.col("source_domain").isin(*domains)) if domains else rows
+    listed = rows.select("article_id", F.explode(F.from_json("payload_json", "array<string>")).alias("j"))
+    told = listed.select(frames.of_json(F.col("j")).alias("f"), F.get_json_object("j", "$.topic_id").alias("own"))
+    mine = told.select("f.*", "own").join(topics.select("article_id", F.col("topic_id").alias("theirs")), "article_id", "left")
+    return mine.withColumn("topic_id", F.coalesce("own", "theirs")).drop("own", "theirs")
+
+
+def cached_run(cache: DataFrame, topics: DataFrame, vectors: DataFrame, articles: DataFrame, sources: DataFrame, date_from: str | None, date_to: str | None, domains: list[str] | None = None, config: AnalysisConfig | None = None) -> dict[str, DataFrame]:
+    """A narrative run over cached frames: clusters, labels, assignments and dynamics."""
+    found = cached_frames(cache, topics, date_from, date_to, domains).withColumn("confidence", F.lit(None).cast("double"))
+    return analyse(found, vectors, articles, sources, config)
+
+
+def dynamics_view(series: DataFrame, most: int = 12) -> DataFrame:
+    """The first clusters by articles, with figures of three digits."""
+    top = series.orderBy(F.desc("total_articles"), "cluster_id").limit(most)
+    return top.select("cluster_id", "n_points", "total_articles", F.round("growth_rate", 3).alias("growth_rate"), F.round("stability_score", 3).alias("stability_score"))
+
+
+def assignment_counts(assignments: DataFrame, frame_rows: DataFrame) -> DataFrame:
+    """(cluster_id, n_assigned, n_unclear): assigned frames by cluster, and the frames without a clear narrative in all."""
+    unclear = frame_rows.agg(F.count_if(F.col("status") == frames.UNCLEAR)).scalar()
+    return assignments.where("assigned").groupBy("cluster_id").agg(F.count("*").alias("n_assigned")).withColumn("n_unclear", unclear)
+
+
 def evaluation(run: dict[str, DataFrame]) -> DataFrame:
     """Counts of a run; quality scores are left null, as nothing to hold them against is given."""
     counts = [df.agg(F.lit(k).alias("measure"), F.count("*").cast("double").alias("value")) for k, df in run.items()]

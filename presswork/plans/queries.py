@@ -17,6 +17,8 @@ from ..sources import discovery
 #: The query, dates and limits of the retrieval queries.
 ASKED, FROM, TO, LIMIT = "flood risk map reviewed by the harbour board", "2024-01-01", "2026-12-31", 10
 QUERY = t.Query.of(ASKED)
+#: The domains of the date range query.
+DOMAINS = ["news659-dale-4.example", "vest850-grad-1.example", "blatt687-tal-6.example"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,9 +83,8 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def date_range(spark: SparkSession, d: str) -> DataFrame:
-    domains = ["news659-dale-4.example"]
-    out = store.in_range(table(spark, d, "articles"), table(spark, d, "sources"), "2024-03-01", "2025-09-30T12:00")
-    return out.select("id", "source_id", t.compact(F.col("published_at")).alias("published_minute"), F.lit(store.domains_key(domains)).alias("domains_key"))
+    out = store.in_range(table(spark, d, "articles"), table(spark, d, "sources"), "2024-03-01", "2025-09-30T12:00", DOMAINS)
+    return out.select("id", "source_id", t.compact(F.col("published_at")).alias("published_minute"), F.lit(store.domains_key(DOMAINS)).alias("domains_key"))
 
 
 def recent_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +309,7 @@ def _topic_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_keywords(spark: SparkSession, d: str) -> DataFrame:
     k = frames.topic_keywords(_topic_docs(spark, d))
-    return k.select("topic_id", F.array_join("keywords", " ").alias("keywords"), F.array_join(F.slice("keywords", 1, 3), " / ").alias("label"))
+    return k.select("topic_id", F.array_join("keywords", " ").alias("keywords"), frames.topic_label(F.col("keywords"), F.col("topic_id")).alias("label"))
 
 
 def topic_ctfidf(spark: SparkSession, d: str) -> DataFrame:
@@ -325,8 +326,8 @@ def json_salvage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of the informative frames within each topic."""
-    f = _frames(spark, d).where("topic_id is not null").where(frames.informative())
+    """Density clusters of the frames with a clear narrative within each topic."""
+    f = _frames(spark, d).where(F.col("topic_id").isNotNull() & (F.col("status") != frames.UNCLEAR))
     return frames.cluster_frames(f, _vectors(spark, d))
 
 

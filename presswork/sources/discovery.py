@@ -61,26 +61,33 @@ def fits(link: Column, c: SourceConfig, strict: bool) -> Column:
 
 
 def _first_seen(rows: DataFrame, by: list[str], limit: int | None) -> DataFrame:
-    """Links in order of their first place, each once per key, at most so many."""
+    """Links in order of their first place, each once per key, at most so many. by is never empty."""
     one = rows.groupBy(*by, "url").agg(F.min("pos").alias("pos"))
     ranked = one.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy("pos")))
     return ranked.where(F.col("pos") <= limit) if limit else ranked
 
 
+def _of_source(rows: DataFrame, page: str, order: tuple[str, ...], c: SourceConfig, limit: int | None) -> DataFrame:
+    """(source, url, pos): first seen over all of a source's pages, in the order that its configuration lists them."""
+    listed = F.array_position(F.lit(list(order)).cast("array<string>"), F.col(page))
+    place = F.struct(F.when(listed > 0, listed).otherwise(len(order) + 1).alias("page"), F.col(page).alias("name"), F.col("pos").alias("pos"))
+    return _first_seen(rows.withColumns({"source": F.lit(c.domain), "pos": place}), ["source"], limit)
+
+
 def feed_links(feeds: DataFrame, c: SourceConfig, limit: int | None = None) -> DataFrame:
-    """(feed_url, url, pos) of feeds (feed_url, xml): item and entry elements' first link, by href or text."""
+    """(source, url, pos) of feeds (feed_url, xml): item and entry elements' first link, by href or text."""
     entries = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?(?:item|entry)\b[^>]*>(.*?)</(?:\w+:)?(?:item|entry)>"), F.lit(1))
     href = lambda x: F.nullif(F.regexp_extract(x, r"(?is)<(?:\w+:)?link\b[^>]*?href=[\"'](.*?)[\"']", 1), F.lit(""))
     told = lambda x: F.nullif(F.trim(F.regexp_extract(x, r"(?is)<(?:\w+:)?link\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</", 1)), F.lit(""))
     rows = feeds.select("feed_url", F.posexplode(F.transform(entries, lambda x: h.unescape(F.coalesce(href(x), told(x))))).alias("pos", "url"))
-    return _first_seen(rows.where(F.col("url").isNotNull() & fits(F.col("url"), c, False)), ["feed_url"], limit)
+    return _of_source(rows.where(F.col("url").isNotNull() & fits(F.col("url"), c, False)), "feed_url", c.rss_urls, c, limit)
 
 
 def section_links(pages: DataFrame, c: SourceConfig, limit: int | None = None) -> DataFrame:
-    """(page_url, url, pos) of section pages (page_url, html): all links to the source's domain."""
-    rows = pages.select("page_url", F.posexplode(F.transform(h.links(F.col("html")), lambda x: h.absolute(x, c.base_url))).alias("pos", "url"))
+    """(source, url, pos) of section pages (page_url, html): all links to the source's domain, read against their page."""
+    rows = pages.select("page_url", F.posexplode(h.links(F.col("html"))).alias("pos", "url")).withColumn("url", h.absolute(F.col("url"), F.col("page_url")))
     host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
-    return _first_seen(rows.where(F.lower(host).contains(c.domain)), ["page_url"], limit)
+    return _of_source(rows.where(F.lower(host).contains(c.domain)), "page_url", c.section_urls, c, limit)
 
 
 def archive_days(spark: SparkSession, c: SourceConfig, date_from: str, date_to: str) -> DataFrame:
@@ -96,7 +103,8 @@ def archive_days(spark: SparkSession, c: SourceConfig, date_from: str, date_to:
 
 def archive_links(days: DataFrame, pages: DataFrame, c: SourceConfig, per_day: int = 200) -> DataFrame:
     """(day, url, pos): the article links of each day's archive page (archive_url, html); days without any keep a null row."""
-    found = days.join(pages, "archive_url", "left").select("day", F.posexplode(F.transform(h.links(F.coalesce("html", F.lit(""))), lambda x: h.absolute(x, c.base_url))).alias("pos", "url"))
+    found = days.join(pages, "archive_url", "left").select("day", "archive_url", F.posexplode(h.links(F.coalesce("html", F.lit("")))).alias("pos", "url"))
+    found = found.withColumn("url", h.absolute(F.col("url"), F.col("archive_url")))
     good = _first_seen(found.where(fits(F.col("url"), c, True)), ["day"], per_day)
     return days.select("day").join(good, "day", "left")
 
@@ -114,7 +122,9 @@ def fetch(get: Callable[[str], bytes], url: str, retries: int = 2, delay: float
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Articles of landed pages (url, html, site): each site's patterns apply to its own pages."""
+    """Articles of landed pages (url, html, site): each site's patterns apply to its own pages; a page of an unknown site is an error."""
+    known = F.coalesce(F.col("site").isin(*h.SITES), F.lit(False))
+    pages = pages.withColumn("site", F.when(known, F.col("site")).otherwise(F.raise_error(F.concat(F.lit("unknown parser: "), F.coalesce("site", F.lit("null"))))))
     out = None
     for name, site in h.SITES.items():
         rows = pages.where(F.col("site") == name).withColumns(h.parse(F.col("html"), site))

@@ -1,8 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from presswork.functions import html as H
 from presswork.functions import text as t
-from presswork.functions.providers import OverlapReranker
+from presswork.functions.providers import OverlapReranker, Scripted
 from presswork.operators import chunking, frames, ingest, retrieval, store
 from presswork.plans import queries as Q
 from presswork.sources import discovery as D
@@ -73,7 +75,7 @@ def test_search_filters_terms_and_ranking(spark, data):
     ids = [r["chunk_id"] for r in few.orderBy(*retrieval.order_keys()).collect()]
     told = retrieval.rerank(few, Q.QUERY, 5, ranking=[ids[-1], 999_999_999]).collect()
     assert {r["chunk_id"]: r["rerank_score"] for r in told}[ids[-1]] == 1.0
-    assert retrieval.summary(found.limit(0).withColumn("quality", F.lit(0.0))).first()["summary"] == "Nothing was found."
+    assert retrieval.summary(found.limit(0).withColumn("quality", F.lit(0.0))).first()["summary"] == retrieval.NOTHING
 
 
 def test_narrow_query_without_evidence_finds_nothing(spark):
@@ -129,15 +131,45 @@ def test_grouped_clusters(spark):
 
 def test_feeds_sections_and_archives(spark):
     c = D.source_config("lenta")
-    xml = "<rss><channel><link>https://lenta.ru</link><item><link>https://lenta.ru/news/2026/04/20/one/</link></item><entry><link href='https://lenta.ru/news/2026/04/20/two/'/></entry><item><link>https://lenta.ru/rubrics/x/</link></item><item><link>https://lenta.ru/news/2026/04/20/one/</link></item></channel></rss>"
-    feed = spark.createDataFrame([("f", xml)], "feed_url string, xml string")
-    assert [r["url"] for r in D.feed_links(feed, c).orderBy("pos").collect()] == ["https://lenta.ru/news/2026/04/20/one/", "https://lenta.ru/news/2026/04/20/two/"]
-    page = '<a href="/news/2026/04/20/a/">1</a><a href="/news/2026/04/20/a/?x=1">2</a><a href="https://other.example/z">3</a><a href="/rubrics/q/">4</a>'
+    item = lambda u: f"<item><link>{u}</link></item>"
+    one, two, three = (f"https://lenta.ru/news/2026/04/20/{x}/" for x in ("one", "two", "three"))
+    first = f"<rss><channel><link>https://lenta.ru</link>{item(one)}<entry><link href='{two}'/></entry>{item('https://lenta.ru/rubrics/x/')}{item(one)}</channel></rss>"
+    feeds = spark.createDataFrame([(c.rss_urls[1], f"<rss>{item(three)}{item(two)}</rss>"), (c.rss_urls[0], first)], "feed_url string, xml string")
+    # First seen over all feeds of the source, in the order of its configuration.
+    assert [r["url"] for r in D.feed_links(feeds, c).orderBy("pos").collect()] == [one, two, three]
+    assert [r["url"] for r in D.feed_links(feeds, c, 2).orderBy("pos").collect()] == [one, two]
+    page = '<a href="/news/2026/04/20/a/">1</a><a href="/news/2026/04/20/a/?x=1">2</a><a href="https://other.example/z">3</a><a href="../../../rubrics/q/">4</a>'
     days = D.archive_days(spark, c, "2026-04-19", "2026-04-20")
     got = D.archive_links(days, spark.createDataFrame([("https://lenta.ru/2026/04/20/", page)], "archive_url string, html string"), c)
-    assert sorted((str(r["day"]), r["url"]) for r in got.collect()) == [("2026-04-19", None), ("2026-04-20", "https://lenta.ru/news/2026/04/20/a/")] or {(str(r["day"]), r["url"]) for r in got.collect()} == {("2026-04-19", None), ("2026-04-20", "https://lenta.ru/news/2026/04/20/a/")}
-    sec = D.section_links(spark.createDataFrame([("p", page)], "page_url string, html string"), c)
-    assert sec.count() == 3
+    assert {(str(r["day"]), r["url"]) for r in got.collect()} == {("2026-04-19", None), ("2026-04-20", "https://lenta.ru/news/2026/04/20/a/")}
+    sec = D.section_links(spark.createDataFrame([("https://lenta.ru/a/b/c/d.html", page), ("https://lenta.ru/news/", page)], "page_url string, html string"), c)
+    assert {r["url"] for r in sec.collect()} == {"https://lenta.ru/news/2026/04/20/a/", "https://lenta.ru/news/2026/04/20/a/?x=1", "https://lenta.ru/rubrics/q/"}
+
+
+def test_links_are_read_against_their_page(spark):
+    cases = {"x.html": "https://a.example/p/q/x.html", "/x": "https://a.example/x", "../y/./z?a=../b": "https://a.example/p/y/z?a=../b", "//c.example/d": "https://c.example/d", "http://e.example": "http://e.example", "../../../../w": "https://a.example/w"}
+    df = spark.createDataFrame([(k,) for k in cases], "href string")
+    got = df.select("href", H.absolute(F.col("href"), "https://a.example/p/q/r?s=1").alias("u")).collect()
+    assert {r["href"]: r["u"] for r in got} == cases
+
+
+def test_unknown_site_is_an_error(spark):
+    pages = spark.createDataFrame([("u", "<p>x</p>", "elsewhere")], "url string, html string, site string")
+    with pytest.raises(Exception, match="unknown parser"):
+        D.parse_pages(pages).collect()
+
+
+def test_summary_keeps_poor_chunks_if_all_are_poor(spark):
+    schema = "chunk_id bigint, chunk_text string, quality double, final_score double, rerank_score double, lexical_score double, vector_score double, published_at string, article_title string"
+    rows = [(1, " poor one ", -0.65, 0.9, 0.0, 0.0, 0.0, "2026", "t"), (2, "poor two", -0.8, 0.8, 0.0, 0.0, 0.0, "2026", "t"), (3, "good", 0.06, 0.1, 0.0, 0.0, 0.0, "2026", "t")]
+    df = spark.createDataFrame(rows, schema)
+    told = lambda d: retrieval.summary(d).first()["summary"]
+    assert told(df) == "good" and told(df.where("chunk_id < 3")) == "poor one\n\npoor two" and told(df.limit(0)) == retrieval.NOTHING
+    query = t.Query.of("poor words")
+    assert retrieval.model_summary(df, query, Scripted(lambda p: " Сводка. ")) == "Сводка." and retrieval.model_summary(df, query, Scripted(lambda p: "no")) == "good"
+    ranked = retrieval.listwise(df, query, Scripted(lambda p: '{"ranked_chunk_ids": ["3", 9, 3, 1]}')).collect()
+    assert {r["chunk_id"]: round(r["rerank_score"], 4) for r in ranked} == {1: 0.25, 2: 0.0, 3: 1.0}
+    assert {r["rerank_score"] for r in retrieval.listwise(df, query, Scripted(lambda p: "nothing")).collect()} == {0.0}
 
 
 def test_fetch_retries():

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from presswork.plans import oracle, queries
+from presswork.plans import oracle, queries, records, records_sql
+
+ALL, SQL = {**queries.QUERIES, **records.QUERIES}, {**oracle.SQL, **records_sql.SQL}
 
 
 def canon(df):
@@ -29,16 +31,16 @@ def duck(data):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, data, duck, name):
-    want, got = duck.execute(oracle.SQL[name]).df(), queries.QUERIES[name](spark, data).toPandas()
+    want, got = duck.execute(SQL[name]).df(), ALL[name](spark, data).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     assert canon(got) == canon(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.SQL)))
+@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_runs(spark, data, name):
-    assert queries.QUERIES[name](spark, data).count() >= 0
+    assert ALL[name](spark, data).count() >= 0
 
 
 def test_entry_contract(spark):

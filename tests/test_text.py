@@ -95,3 +95,6 @@ def test_parse_page(spark):
 
 def test_strip_tags(spark):
     assert one(spark, "<p>a&nbsp;b</p><br>c<style>x</style>\n\n\n\n<b>d</b>", h.strip_tags) == "a b\n\nc\n\nd"
+    assert one(spark, "&#1071;&#x42F; &amp;lt; &copy; &unknown; &#0; &", h.unescape) == "ЯЯ &lt; © &unknown; &#0; &"
+    el = "<meta content='a \"b\"' NAME=\"x\" data-name='n'>"
+    assert one(spark, el, lambda c: h.attribute(c, "content")) == 'a "b"' and one(spark, el, lambda c: h.attribute(c, "name")) == "x" and one(spark, el, lambda c: h.attribute(c, "href")) is None
