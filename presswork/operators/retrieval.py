@@ -113,7 +113,11 @@ def with_query(rows: DataFrame, query: t.Query) -> DataFrame:
 def vector_search(rows: DataFrame, query: t.Query, asked: Column, date_from: str | None, date_to: str | None, limit: int = 20, domains: list[str] | None = None, embedding: str = "embedding") -> DataFrame:
     """The most similar chunks in scope (cosine above 0), exactly: a scan with a bounded top-k."""
     near = in_scope(rows, date_from, date_to, domains).withColumn("vector_score", F.round(t.cosine(F.col(embedding), asked), 6)).where("vector_score > 0")
-    near = with_query(near, query)
+    return vector_order(with_query(near, query), limit)
+
+
+def vector_order(near: DataFrame, limit: int) -> DataFrame:
+    """The best of rows with a vector_score and what with_query adds, and their rank."""
     mixed = near.withColumn("vector_final", F.round(0.54 * F.col("vector_score") + 0.16 * F.col("overlap") + 0.16 * F.col("anchor") + F.col("quality"), 6))
     keys = (F.desc("vector_score"), F.desc("vector_final"), F.desc("published_at"), F.asc("chunk_id"))
     return mixed.orderBy(*keys).limit(limit).withColumn("vector_rank", F.row_number().over(W.orderBy(*keys)))
@@ -125,8 +129,14 @@ _COLUMNS = ("chunk_id", "article_id", "chunk_index", "chunk_text", "article_titl
 def hybrid(rows: DataFrame, query: t.Query, asked: Column, date_from: str | None, date_to: str | None, limit: int = 10, domains: list[str] | None = None, embedding: str = "embedding") -> DataFrame:
     """Lexical and vector candidates in one list, by fused score."""
     wide = max(3 * limit, HYBRID_LIMIT)
-    lex = with_query(lexical(rows, query, date_from, date_to, wide, domains), query).select(*_COLUMNS, "lexical_rank")
-    vec = vector_search(rows, query, asked, date_from, date_to, wide, domains, embedding).select(*_COLUMNS, "vector_score", "vector_rank")
+    return fuse(lexical(rows, query, date_from, date_to, wide, domains), vector_search(rows, query, asked, date_from, date_to, wide, domains, embedding), query, limit)
+
+
+def fuse(lexical_found: DataFrame, vector_found: DataFrame, query: t.Query, limit: int = 10) -> DataFrame:
+    """Two ranked lists of candidates in one, by fused score."""
+    wide = max(3 * limit, HYBRID_LIMIT)
+    lex = with_query(lexical_found, query).select(*_COLUMNS, "lexical_rank")
+    vec = vector_found.select(*_COLUMNS, "vector_score", "vector_rank")
     both = lex.alias("l").join(vec.alias("v"), "chunk_id", "full_outer").select(
         "chunk_id", *[F.coalesce(F.col(f"l.{c}"), F.col(f"v.{c}")).alias(c) for c in _COLUMNS if c != "chunk_id"], "lexical_rank", "vector_score", "vector_rank"
     )
@@ -198,7 +208,11 @@ def diversify(rows: DataFrame, limit: int = 10, per_article: int = PER_ARTICLE)
 
 def search(rows: DataFrame, query: t.Query, asked: Column, date_from: str | None, date_to: str | None, limit: int = 10, domains: list[str] | None = None, model: Reranker | None = None) -> DataFrame:
     """The whole path from a query to its chunks; a query without terms finds nothing."""
-    found = hybrid(rows, query, asked, date_from, date_to, limit, domains)
+    return narrowed(hybrid(rows, query, asked, date_from, date_to, limit, domains), query, limit, model)
+
+
+def narrowed(found: DataFrame, query: t.Query, limit: int = 10, model: Reranker | None = None) -> DataFrame:
+    """Hybrid candidates re-ranked, cut to the topic, and spread over articles."""
     if not query.terms:
         return found.limit(0).withColumn("kind", F.lit("none"))
     return diversify(topical(rerank(found, query, limit, model), query), limit)

@@ -241,6 +241,8 @@ SQL: dict[str, str] = {
     "token_stats": f"WITH {ROWS}, x AS (SELECT chunk_id, unnest(regexp_extract_all(lower(concat_ws(' ', article_title, chunk_text)), '[\\p{{L}}\\p{{N}}]+')) AS token FROM r) SELECT token, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_places FROM x GROUP BY token",
     "stems": f"SELECT token, {stem('token')} AS stem FROM (SELECT DISTINCT unnest({tokens('title')}) AS token FROM articles)",
     "bm25_top": f"WITH {ROWS}, {BM25}, {lex(20)} SELECT chunk_id, article_id, bm25, lexical_rank FROM lx",
+    "index_append": f"WITH {ROWS}, x AS (SELECT chunk_id, unnest(regexp_extract_all(lower(concat_ws(' ', article_title, chunk_text)), '[\\p{{L}}\\p{{N}}]+')) AS token FROM r) SELECT token, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_places FROM x GROUP BY token",
+    "bm25_of_domains": f"WITH {ROWS}, {BM25}, {lex(20).replace('WHERE ', 'WHERE source_domain IN ' + chr(40) + chr(39) + 'news659-dale-4.example' + chr(39) + ', ' + chr(39) + 'vest850-grad-1.example' + chr(39) + ', ' + chr(39) + 'blatt687-tal-6.example' + chr(39) + chr(41) + ' AND ')} SELECT chunk_id, article_id, bm25, lexical_rank FROM lx",
     "contains_top": f"""WITH {ROWS}, m AS (SELECT *, {' + '.join(f"(contains(lower(chunk_text), '{w}') OR contains(lower(coalesce(article_title, '')), '{w}'))::INT" for w in dict.fromkeys(a for a, _ in QUERY.terms))} AS match_count FROM r WHERE {SCOPE})
         SELECT chunk_id, article_id, match_count FROM m WHERE match_count > 0 ORDER BY match_count DESC, ({compact('published_at')}) DESC, article_id, chunk_index, chunk_id LIMIT 20""",
     "query_overlap": f"WITH {ROWS}, {WITH_QUERY} SELECT chunk_id, round(overlap, 6) AS overlap, round(anchor, 6) AS anchor, anchor_matches FROM q",

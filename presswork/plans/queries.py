@@ -11,7 +11,8 @@ from ..functions import text as t
 from ..functions.providers import OverlapReranker
 from ..operators import chunking, frames, ingest, retrieval, store
 from ..operators import timestamps as ts
-from ..runtime import table
+from ..operators.search_store import SearchStore
+from ..runtime import modified, scratch_path, table
 from ..sources import discovery
 
 #: The query, dates and limits of the retrieval queries.
@@ -181,8 +182,41 @@ def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
     return rows, t.hashed_embedding(F.lit(" ".join(raw for raw, _ in QUERY.terms)))
 
 
+_stores: dict[tuple, SearchStore] = {}
+
+
+def search_store(spark: SparkSession, d: str) -> SearchStore:
+    """The stored index over a folder's chunks: made once an application and state of the tables, then read."""
+    key = (spark.sparkContext.applicationId, d, *[modified(spark, f"{d}/{n}.parquet") for n in ("article_chunks", "articles", "sources")])
+    if key not in _stores:
+        _stores[key] = SearchStore.create(_embedded(spark, d)[0], scratch_path(spark, "search"))
+    return _stores[key]
+
+
+def _asked():
+    return t.hashed_embedding(F.lit(" ".join(raw for raw, _ in QUERY.terms)))
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    s, wide = search_store(spark, d), max(3 * LIMIT, retrieval.HYBRID_LIMIT)
+    return retrieval.fuse(s.lexical(QUERY, FROM, TO, wide), s.vector(QUERY, _asked(), FROM, TO, wide), QUERY, LIMIT)
+
+
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical(_rows(spark, d), QUERY, FROM, TO, 20).select("chunk_id", "article_id", "bm25", "lexical_rank")
+    return search_store(spark, d).lexical(QUERY, FROM, TO, 20).select("chunk_id", "article_id", "bm25", "lexical_rank")
+
+
+def bm25_of_domains(spark: SparkSession, d: str) -> DataFrame:
+    """The same within some domains."""
+    return search_store(spark, d).lexical(QUERY, FROM, TO, 20, DOMAINS).select("chunk_id", "article_id", "bm25", "lexical_rank")
+
+
+def index_append(spark: SparkSession, d: str) -> DataFrame:
+    """An index of two thirds of the chunks, to which all are appended: the held ones are left out."""
+    rows = _embedded(spark, d)[0]
+    s = SearchStore.create(rows.where("chunk_id % 3 > 0"), scratch_path(spark, "search"))
+    s.append(rows)
+    return s.postings.groupBy("token").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_places"))
 
 
 def contains_top(spark: SparkSession, d: str) -> DataFrame:
@@ -195,38 +229,36 @@ def query_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_top(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked = _embedded(spark, d)
-    return retrieval.vector_search(rows, QUERY, asked, FROM, TO, 20).select("chunk_id", "vector_score", "vector_final", "vector_rank")
+    return search_store(spark, d).vector(QUERY, _asked(), FROM, TO, 20).select("chunk_id", "vector_score", "vector_final", "vector_rank")
 
 
 def hybrid_top(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked = _embedded(spark, d)
-    return retrieval.hybrid(rows, QUERY, asked, FROM, TO, LIMIT).select("chunk_id", "article_id", "final_score", "lexical_score", "vector_score")
+    return _fused(spark, d).select("chunk_id", "article_id", "final_score", "lexical_score", "vector_score")
+
+
+def _found(spark: SparkSession, d: str, model=None) -> DataFrame:
+    return retrieval.narrowed(_fused(spark, d), QUERY, LIMIT, model)
 
 
 def search_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked = _embedded(spark, d)
-    return retrieval.search(rows, QUERY, asked, FROM, TO, LIMIT).select("chunk_id", "article_id", "final_score", "kind")
+    return _found(spark, d).select("chunk_id", "article_id", "final_score", "kind")
 
 
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked = _embedded(spark, d)
-    return retrieval.search(rows, QUERY, asked, FROM, TO, LIMIT, model=OverlapReranker()).select("chunk_id", "article_id", "final_score", "model_score", "kind")
+    return _found(spark, d, OverlapReranker()).select("chunk_id", "article_id", "final_score", "model_score", "kind")
 
 
 def search_articles(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked = _embedded(spark, d)
-    return retrieval.source_articles(retrieval.search(rows, QUERY, asked, FROM, TO, LIMIT))
+    return retrieval.source_articles(_found(spark, d))
 
 
 def answer(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked = _embedded(spark, d)
-    return retrieval.summary(retrieval.search(rows, QUERY, asked, FROM, TO, LIMIT)).select("n_chunks", F.md5("summary").alias("summary_md5"))
+    return retrieval.summary(_found(spark, d)).select("n_chunks", F.md5("summary").alias("summary_md5"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over the chunks, at most two of an article."""
-    top = retrieval.lexical(_rows(spark, d), QUERY, FROM, TO, 50)
+    top = search_store(spark, d).lexical(QUERY, FROM, TO, 50)
     w = W.partitionBy("article_id").orderBy("lexical_rank")
     return top.withColumn("r", F.row_number().over(w)).where("r <= 2").select("chunk_id", "article_id", "article_title", "bm25", "lexical_rank")
 
@@ -341,7 +373,7 @@ QUERIES = {
     for f in (
         p1_found, p1_status, normalize_hash, url_normalize, validate_articles, dedup_canonical, duplicate_groups, ingest_counters, upsert_compaction, latest_incoming, integrity,
         date_range, recent_by_source, active_sources, load_documents, missing_embeddings, snapshot_counts, page_text, page_links, page_articles, archive_calendar,
-        chunk_corpus, chunk_quality, token_stats, stems, bm25_top, contains_top, query_overlap, vector_top, hybrid_top, search_chunks, search_reranked, search_articles, answer, flagship,
+        chunk_corpus, chunk_quality, token_stats, stems, bm25_top, bm25_of_domains, index_append, contains_top, query_overlap, vector_top, hybrid_top, search_chunks, search_reranked, search_articles, answer, flagship,
         frame_informative, frame_representation, cluster_support, cluster_event_like, cluster_labels, classify_margin, classify_open, period_counts, dynamics_points, dynamics_series,
         topic_keywords, topic_ctfidf, json_salvage, frame_clusters, topic_model,
     )

@@ -66,6 +66,17 @@ def scratch_folder(spark: SparkSession) -> str:
     return _scratch[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path of that name in the scratch folder."""
+    return os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a table was last changed."""
+    fs, at = _file_system(spark, path)
+    return fs.getFileStatus(at).getModificationTime()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
@@ -73,7 +84,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     checkpoint, it is compressed and its columns can be pruned.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
