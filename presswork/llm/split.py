@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import broadcast_if_small, written
+
 LIMIT, OVERLAP = 700, 80
 _PIECE = (("piece_no", T.IntegerType()), ("piece_text", T.StringType()), ("piece_start", T.IntegerType()), ("own_start", T.IntegerType()), ("piece_end", T.IntegerType()))
 
@@ -139,8 +141,10 @@ def cut_chunks(chunks: DataFrame, articles: DataFrame, limit: int = LIMIT, overl
     text; where the article is missing or differs they are null, and piece_start and piece_end still
     give the places in the chunk. Rows repeated exactly count once.
     """
-    over = chunks.where(F.length("chunk_text") > limit).select("id", "article_id", "chunk_text", "char_start").dropDuplicates()
-    bodies = articles.select(F.col("id").alias("article_id"), "body_text").dropDuplicates(["article_id"])
+    over = written(chunks.where(F.length("chunk_text") > limit).select("id", "article_id", "chunk_text", "char_start").dropDuplicates(), "oversized")
+    # Only the bodies of articles with an oversized chunk are moved; of repeated ids the smallest body is taken.
+    wanted = broadcast_if_small(written(over.select("article_id").where("article_id is not null").distinct(), "wanted"))
+    bodies = articles.select(F.col("id").alias("article_id"), "body_text").join(wanted, "article_id", "left_semi").groupBy("article_id").agg(F.min("body_text").alias("body_text"))
     here = F.expr("substring(body_text, char_start + 1, length(chunk_text))") == F.col("chunk_text")
     place = F.instr("body_text", F.col("chunk_text")) - 1
     base = F.when(here, F.col("char_start")).otherwise(F.when(place >= 0, place))
