@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import written
+
 #: Bounds of the sample that the classifier is fitted on: texts, and distinct windows of each kind.
 DOCS, MOST_POSITIVE, MOST_NEGATIVE = 15_000, 20_000, 40_000
 #: Parts that the hosts are dealt into; places in which an unlabelled window must stand to count as positive.
@@ -333,6 +335,7 @@ def sample(articles: DataFrame, key: str, host: str, title: str, body: str) -> S
     each = each.withColumn("y", F.when(phrase, 1).when(alone & (F.col("places") >= PLACES), 1).when(F.col("n_marked") < F.col("n"), 0))
     each = each.where("y is not null").withColumn("r", F.pmod(F.xxhash64("content"), F.lit(1 << 40)) / F.col("n"))
     cols = ["fold", "y", "family", "n", "feats"]
+    each = written(each, "examples")
     got = [each.where(F.col("y") == y).orderBy("r", "fold").limit(m).select(cols).toPandas() for y, m in ((1, MOST_POSITIVE), (0, MOST_NEGATIVE))]
     got.append(written_examples())
     all_ = pd.concat([g for g in got if len(g)], ignore_index=True)
