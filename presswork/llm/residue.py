@@ -392,7 +392,7 @@ def fit(articles: DataFrame, key: str = "id", host: str = "source_id", title: st
         wrong = np.concatenate([[0], np.cumsum(n * (y == 1))]) + COST * ((n * (y == 0)).sum() - np.concatenate([[0], np.cumsum(n * (y == 0))]))
         edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
         best = np.flatnonzero(wrong <= wrong.min() + 0.005 * (n * (y == 1)).sum())
-        least = float(np.clip((edges[best[0]] + edges[best[-1]]) / 2, 1.0, 4.0))
+        least = float(np.clip((edges[best[0]] + edges[best[-1]]) / 2, 1.0, 2.0))
 
     def measures(name: str, positive: np.ndarray, n: np.ndarray) -> list[tuple[str, float]]:
         hit = float((n * (positive > least)).sum())
