@@ -106,6 +106,10 @@ POSITIVE = (
     "Der Inhalt konnte nicht geladen werden", "Bitte aktivieren Sie JavaScript in Ihrem Browser", "Ihr Browser unterstützt keine Skripte", "Ihre Anfrage wurde blockiert", "Hier steht Ihr Text", "Beispieltext", "Blindtext", "[Name einfügen]", "Platzhaltertext",
 )
 NEGATIVE = (
+    "a1b2c3d4e5f6" * 6, "Its checksum is " + "0f9e8d7c" * 8 + ".", "Text: Anna Schmidt", "Words: John Smith", "Текст: Иван Петров", "Details to follow.", "Weitere Angaben folgen.", "Подробности позже.",
+    "Compiled from agency reports.", "Picture: archive.", "Zusammengestellt aus Berichten.", "По сообщениям корреспондентов.", "A leaflet shows how to enable JavaScript, step by step.", "Readers asked how to enable JavaScript and where to allow scripts.",
+    "Lessons on how to turn on scripts and cookies drew pensioners.", "The page you are looking for in the chronicle is torn, the curator said.", "The court found that the ministry could not complete the request of the paper.",
+    "He said he would try again later this year.", "The report describes error pages and dummy texts found by auditors.",
     "A guide for pensioners explains how to enable JavaScript and why cookies are asked for.", "The library teaches children how to turn on scripts in a browser.", "The town's site showed visitors a 404 error for two days, and the mayor apologised.",
     "An error in the server room left the office without a network, the agency reported.", "The committee said that something went wrong with the tender.", "The page was not found among the papers of the archive.", "The minister denied access to the file, the court heard.",
     "Service on the line was unavailable for three hours on Monday.", "The play “Lorem Ipsum” tells the story of a printer.", "The band named its album “Page Not Found”, critics wrote.", "The set {1, 2, 3} has three members, the teacher said.", "Prices rose by 5 % [the report says] in May.",
