@@ -10,7 +10,7 @@ Defined results
   * null, blank, wordless or impossible texts (``0000-00-00``, 30 February, 25:00) give null;
   * a zone, offset or abbreviation in the text wins over the zone of the row;
   * a row without any zone is read as UTC; an unknown zone name gives null;
-  * a wall time after 2099 has the offset that its zone has at the end of 2099;
+  * a wall time after 2099 has the offset of the same date in a year before with the same calendar;
   * a time that occurs twice is its first pass, a skipped one moves forward by the jump;
   * repeated rows and repeated ids each keep their own result, extra columns pass through.
 """
@@ -181,6 +181,15 @@ def _days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return era * 146097 + of_era * 365 + F.floor(of_era / 4).cast("long") - F.floor(of_era / 100).cast("long") + of_year - 719468
 
 
+def _calendars() -> dict[int, int]:
+    """Kind of calendar (weekday of New Year, leap or not) -> day number of New Year in such a year, of the last 28 covered before the end."""
+    out = {}
+    for year in range(LAST_YEAR - 32, LAST_YEAR - 4):
+        first = _year_us(year) // DAY_US
+        out[first % 7 * 2 + (year % 4 == 0)] = first
+    return out
+
+
 def _int(c: Column) -> Column:
     return F.nullif(c, F.lit("")).cast("long")
 
@@ -240,7 +249,12 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str | None
         F.try_element_at(abbreviations, told).cast("long")
     )
     named = F.when(told.contains("/"), told).when(told.isNull(), F.lower(F.coalesce(F.trim(F.col(f"`{zone}`")), F.lit("UTC"))))
-    local = F.col("__local")
+    # Yearly rules go on for ever: a later year is read as one of a full cycle of calendars that the table covers.
+    new_year = _days_from_civil(year, F.lit(1), F.lit(1))
+    cycle = F.create_map(*[F.lit(x) for pair in _calendars().items() for x in pair])
+    back = (new_year - F.try_element_at(cycle, (F.pmod(new_year, F.lit(7)) * 2 + leap.cast("long")).cast("int"))) * DAY_US
+    base = base.withColumn("__by_rule", F.when(year > LAST_YEAR, F.col("__local") - back).otherwise(F.col("__local")))
+    local, told_local = F.col("__by_rule"), F.col("__local")
     decade = F.floor((local / (365.2425 * DAY_US) + 1970) / 10)
     decade = F.least(F.greatest(decade, F.lit(FIRST_YEAR // 10)), F.lit(LAST_YEAR // 10)).cast("int")
     base = base.withColumns({"__zone": named, "__fixed": F.when(told.isNotNull(), fixed), "__decade": decade})
@@ -250,8 +264,8 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str | None
     joined = joined.withColumn("__near", near)
     joined = joined.withColumn("__hits", F.filter("__near", lambda s: local < s["until"]))
     pick = F.array_max(F.transform(F.when(F.size("__hits") > 0, F.col("__hits")).otherwise(F.col("__near")), lambda s: s["offset_us"]))
-    instant = F.coalesce(F.col("__epoch"), local - F.col("__fixed") * (60 * US))
-    joined = joined.withColumns({"__instant": instant, "__by_zone": local - pick})
+    instant = F.coalesce(F.col("__epoch"), told_local - F.col("__fixed") * (60 * US))
+    joined = joined.withColumns({"__instant": instant, "__by_zone": told_local - pick})
     result = F.coalesce("__instant", "__by_zone")
     label = (
         F.when(result.isNull(), "unreadable").when(F.col("__instant").isNotNull(), "instant")
